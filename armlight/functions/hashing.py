@@ -3,30 +3,27 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = 2.0**32
 
+def _key(seed, parts) -> str:
+    return f"concat_ws(':', '{seed}', {', '.join(f'`{p}`' for p in parts)})"
 
-def _words(seed, parts) -> Column:
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(p) if isinstance(p, str) else p for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double")
+
+def _word(seed, parts) -> str:
+    """32 bits of the MD5 of the seed and the columns, as a double."""
+    return f"cast(conv(substr(md5({_key(seed, parts)}), 1, 8), 16, 10) as double)"
 
 
 def uniform(seed, *parts) -> Column:
     """Uniform in [0, 1) from the seed and the given columns."""
-    return _words(seed, parts) / F.lit(SPAN)
-
-
-def uniform_open(seed, *parts) -> Column:
-    """Uniform in (0, 1), safe under a logarithm."""
-    return (_words(seed, parts) + F.lit(1.0)) / F.lit(SPAN + 1.0)
+    return F.expr(f"{_word(seed, parts)} / 4294967296D")
 
 
 def normal(seed, *parts) -> Column:
-    """Standard normal by the Box-Muller transform of two hashed uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform_open(f"{seed}a", *parts)))
-    return radius * F.cos(F.lit(6.283185307179586) * uniform_open(f"{seed}b", *parts))
+    """Standard normal by the Box-Muller transform of two hashed uniforms in (0, 1)."""
+    radius, angle = (f"(({_word(f'{seed}{half}', parts)} + 1D) / 4294967297D)" for half in "ab")
+    return F.expr(f"sqrt(-2D * ln({radius})) * cos(6.283185307179586D * {angle})")
 
 
 def shuffle_key(seed, *parts) -> Column:
     """Sort key of a repeatable shuffle."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p) if isinstance(p, str) else p for p in parts]).cast("binary"))
+    return F.expr(f"md5({_key(seed, parts)})")

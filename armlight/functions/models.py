@@ -5,21 +5,36 @@ A model is as wide as the table has feature columns, so it fits on the driver.
 """
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armlight.functions.vectors import relu, sigmoid
-
 # nets with more weights than this are scored in Arrow batches with numpy
 COLUMN_NET_WEIGHTS = 400
 
 
-def _sum(terms) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def number(value) -> str:
+    """A double literal in SQL text."""
+    return f"{float(value)!r}D"
+
+
+def weighted_sum(weights, terms, bias=0.0) -> str:
+    """SQL text of a weighted sum.
+
+    Scores are built as SQL text: one expression per model instead of one call
+    into the JVM per operation.
+    """
+    return "(" + " + ".join([f"{number(w)} * {t}" for w, t in zip(weights, terms)] + [number(bias)]) + ")"
+
+
+def _quoted(columns):
+    return [f"`{c}`" for c in columns]
+
+
+def _sigmoid(text: str) -> str:
+    return f"(1D / (1D + exp(-{text})))"
 
 
 @dataclass(frozen=True)
@@ -34,16 +49,17 @@ class LinearModel:
     def features(self):
         return list(self.weights)
 
-    def part(self, columns) -> Column:
-        """The share of ``w.x`` that the given columns contribute."""
-        terms = [F.lit(float(self.weights[c])) * F.col(c) for c in columns if c in self.weights]
-        return _sum(terms) if terms else F.lit(0.0)
+    def part(self, columns, bias: float = 0.0) -> Column:
+        """The share of ``w.x`` that the given columns contribute, plus ``bias``."""
+        used = [c for c in columns if c in self.weights]
+        return F.expr(weighted_sum([self.weights[c] for c in used], _quoted(used), bias))
 
     def activate(self, z: Column) -> Column:
-        return sigmoid(z) if self.link == "logit" else z
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) if self.link == "logit" else z
 
     def score(self) -> Column:
-        return self.activate(self.part(self.features) + F.lit(float(self.intercept)))
+        z = weighted_sum(self.weights.values(), _quoted(self.weights), self.intercept)
+        return F.expr(_sigmoid(z) if self.link == "logit" else z)
 
     def slope(self, p: Column) -> Column:
         """Derivative of the activation, written with its value."""
@@ -69,56 +85,67 @@ class DenseNet:
     def n_weights(self):
         return sum(len(m) * len(m[0]) + len(b) for m, b in self.layers)
 
-    def _layer(self, inputs, matrix, bias):
-        return [
-            _sum([F.lit(float(w)) * x for w, x in zip(row, inputs)] + [F.lit(float(b))])
-            for row, b in zip(matrix, bias)
-        ]
+    @property
+    def small(self):
+        return self.n_weights <= COLUMN_NET_WEIGHTS
 
     def _finish(self, hidden):
-        """Outputs from the values of the first layer before its ReLU."""
+        """Outputs from the values of the first layer before its ReLU, as SQL text."""
         for matrix, bias in self.layers[1:]:
-            hidden = self._layer([relu(h) for h in hidden], matrix, bias)
-        return [sigmoid(h) if self.sigmoid_out else h for h in hidden]
+            inputs = [f"greatest({h}, 0D)" for h in hidden]
+            hidden = [weighted_sum(row, inputs, b) for row, b in zip(matrix, bias)]
+        return [_sigmoid(h) if self.sigmoid_out else h for h in hidden]
 
     def outputs(self):
         """One Column per output unit; all arithmetic stays in generated code."""
         matrix, bias = self.layers[0]
-        return self._finish(self._layer([F.col(c) for c in self.features], matrix, bias))
+        inputs = _quoted(self.features)
+        return [F.expr(o) for o in self._finish([weighted_sum(row, inputs, b) for row, b in zip(matrix, bias)])]
+
+    def output_vector(self) -> Column:
+        """All outputs as one array."""
+        return F.array(*self.outputs()) if self.small else self._batched(lambda net, x: net.forward(x))
 
     def score(self) -> Column:
         """First output, in generated code for small nets and in Arrow batches for wide ones."""
-        if self.n_weights <= COLUMN_NET_WEIGHTS:
-            return self.outputs()[0]
-        return self.batch_score()
+        return self.outputs()[0] if self.small else self.batch_score()
 
     def batch_score(self) -> Column:
+        return self._batched(lambda net, x: net.forward(x)[:, 0], "double")
+
+    def _batched(self, compute, returns="array<double>", columns=None) -> Column:
         net = self.to_arrays()
 
-        @F.pandas_udf("double")
-        def forward(columns: pd.DataFrame) -> pd.Series:
-            return pd.Series(net.forward(columns.to_numpy(dtype=float))[:, 0])
+        @F.pandas_udf(returns)
+        def run(batch: pd.DataFrame) -> pd.Series:
+            return pd.Series(list(compute(net, batch.to_numpy(dtype=float))))
 
-        return forward(F.struct(*self.features))
+        return run(F.struct(*(columns or self.features)))
 
-    def first_layer_parts(self, columns, prefix, with_bias):
-        """Share of the given columns in each first-layer unit, as named Columns.
+    def first_layer(self, columns, with_bias: bool) -> Column:
+        """Share of the given columns in each first-layer unit, as one array.
 
         ``W.[o, u] + b`` is ``W_o.o + (W_u.u + b)``: each side is computed once per
         offer and once per user instead of once per pair.
         """
         matrix, bias = self.layers[0]
-        places = [i for i, c in enumerate(self.features) if c in columns]
-        parts = []
-        for unit, (row, b) in enumerate(zip(matrix, bias)):
-            terms = [F.lit(float(row[i])) * F.col(self.features[i]) for i in places]
-            terms.append(F.lit(float(b) if with_bias else 0.0))
-            parts.append(_sum(terms).alias(f"{prefix}{unit}"))
-        return parts
-
-    def score_from_parts(self, left, right) -> Column:
+        used = [c for c in self.features if c in set(columns)]
+        if not self.small:
+            places = [self.features.index(c) for c in used]
+            part = np.asarray(matrix, dtype=float)[:, places]
+            shift = np.asarray(bias, dtype=float) if with_bias else 0.0
+            return self._batched(lambda net, x: x @ part.T + shift, columns=used)
+        places = [self.features.index(c) for c in used]
+        units = [
+            weighted_sum([row[i] for i in places], _quoted(used), b if with_bias else 0.0)
+            for row, b in zip(matrix, bias)
+        ]
+        return F.expr(f"array({', '.join(units)})")
+
+    def score_from_parts(self, left: str, right: str) -> Column:
+        """First output of a pair from the two first-layer arrays; for small nets."""
         units = range(len(self.layers[0][0]))
-        return self._finish([F.col(f"{left}{u}") + F.col(f"{right}{u}") for u in units])[0]
+        return F.expr(self._finish([f"({left}[{u}] + {right}[{u}])" for u in units])[0])
 
     def to_arrays(self) -> "ArrayNet":
         return ArrayNet(

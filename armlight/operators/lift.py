@@ -31,7 +31,7 @@ def lift_bins(scored: DataFrame, bins: int, id_column: str, prob: str = "prob",
     every = Window.partitionBy()
     rate = F.col("positives") / F.col("n")
     overall = F.sum("positives").over(every) / F.sum("n").over(every)
-    return per_bin.withColumn("rate", rate).withColumn("lift", rate / overall)
+    return per_bin.withColumn("rate", rate).withColumn("lift", F.try_divide(F.col("rate"), overall))
 
 
 def cumulative_lift(bins: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def cumulative_lift(bins: DataFrame) -> DataFrame:
         "bin",
         "cum_n",
         "cum_positives",
-        (F.col("cum_positives") / F.col("_positives")).alias("gain"),
-        (rate / (F.col("_positives") / F.col("_n"))).alias("cum_lift"),
+        F.try_divide(F.col("cum_positives"), F.col("_positives")).alias("gain"),
+        F.try_divide(rate, F.col("_positives") / F.col("_n")).alias("cum_lift"),
     )
 
 

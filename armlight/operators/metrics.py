@@ -37,13 +37,15 @@ def with_rewards(
     rows = attach_dimension(exposed, users, "user_key", row_id, hot_rows=hot_rows)
     rows = rows.withColumn("offer_key", F.coalesce("explored", "best_offer"))
     rows = attach_dimension(rows, offers, "offer_key", row_id, hot_rows=hot_rows)
-    rows = rows.withColumn("r_prob", net.score()).withColumn("r", reward("r_prob"))
-    rows = rows.withColumn("pred", F.col("best_score") if pred is None else pred)
-    return (
-        rows.withColumn("loss", F.abs(F.col("r") - F.col("pred")))
-        .withColumn("regret", F.greatest(F.col("optimum") - F.col("r_prob"), F.lit(0.0)))
-        .withColumn("regret_abs", F.abs(F.col("optimum") - F.col("r_prob")))
-        .withColumn("regret_binary", F.greatest(reward("optimum") - F.col("r"), F.lit(0.0)))
+    rows = rows.select("*", net.score().alias("r_prob"), (F.col("best_score") if pred is None else pred).alias("pred"))
+    rows = rows.withColumn("r", reward("r_prob"))
+    return rows.withColumns(
+        {
+            "loss": F.expr("abs(r - pred)"),
+            "regret": F.expr("greatest(optimum - r_prob, 0D)"),
+            "regret_abs": F.expr("abs(optimum - r_prob)"),
+            "regret_binary": F.expr("greatest(if(optimum >= 0.5D, 1D, 0D) - r, 0D)"),
+        }
     )
 
 

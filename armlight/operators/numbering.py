@@ -1,6 +1,6 @@
 """Row numbers over a whole table without putting it into one partition."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlight.session import shuffle_width
@@ -14,31 +14,32 @@ def number_rows(df: DataFrame, order_by, name: str, start: int = 1, total: str |
 
     ``order_by`` must be a total order. Rows are range partitioned on it, so a
     value shared by many rows is split by the later sort columns. The slot of a
-    row inside its partition is fixed by writing the table once; the only data
-    seen by a single task are the partition sizes, one row per partition.
+    row inside its partition is fixed by writing the table once. The driver reads
+    only the partition sizes, one number per partition; the returned frame is a
+    scan with an addition.
     """
     width = shuffle_width(df.sparkSession)
     laid_out = (
         df.repartitionByRange(width, *order_by)
         .sortWithinPartitions(*order_by)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_slot", F.monotonically_increasing_id().bitwiseAND(F.lit(_SLOT_MASK)))
+        .withColumns(
+            {
+                "_part": F.spark_partition_id(),
+                "_slot": F.monotonically_increasing_id().bitwiseAND(F.lit(_SLOT_MASK)),
+            }
+        )
     )
     table = stage(laid_out, f"numbered-{name}")
-    sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    by_part = Window.orderBy("_part")
-    starts = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_rows").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
-    )
-    # one row per range partition: bounded by the shuffle width
-    numbered = table.join(F.broadcast(starts), "_part")
+    sizes = dict(table.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    before = [start]
+    for part in range(width):
+        before.append(before[-1] + sizes.get(part, 0))
+    starts = ", ".join(f"{b}L" for b in before[:-1])
     columns = [F.col(c) for c in df.columns]
-    columns.append((F.col("_slot") + F.col("_before") + F.lit(start)).cast("bigint").alias(name))
+    columns.append(F.expr(f"_slot + element_at(array({starts}), _part + 1)").alias(name))
     if total:
-        columns.append(F.col("_total").cast("bigint").alias(total))
-    return numbered.select(*columns)
+        columns.append(F.lit(before[-1] - start).cast("bigint").alias(total))
+    return table.select(*columns)
 
 
 def in_batches(position, size: int, start: int = 1):

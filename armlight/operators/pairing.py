@@ -35,18 +35,20 @@ def pair_all(left: DataFrame, right: DataFrame, left_key: str, groups: int | Non
 
 
 def best_pair_value(users: DataFrame, offers: DataFrame, user_columns, net, offer_features, name: str) -> DataFrame:
-    """Highest score over all offers for each user, by a small net.
+    """Highest score over all offers for each user.
 
     The first layer is computed per user and per offer; a pair costs only the
-    remaining layers. The maximum is combined map-side, so pairs are never
-    shuffled nor held.
+    remaining layers. For a small net the maximum is combined map-side, so pairs
+    are never shuffled nor held; a wide net is scored in tiles.
     """
+    if not net.small:
+        best = best_offer_by_net(users, offers, net, offer_features, score_name=name)
+        return users.select(*user_columns).join(best.select("user_key", name), "user_key").select(*user_columns, name)
     user_features = [f for f in net.features if f not in offer_features]
-    left = users.select(*user_columns, *net.first_layer_parts(user_features, "_u", True))
-    right = offers.select(*net.first_layer_parts(offer_features, "_o", False))
-    pairs = pair_all(left, right, user_columns[0])
-    score = net.score_from_parts("_u", "_o")
-    return pairs.groupBy(*user_columns).agg(F.max(F.nanvl(score, F.lit(float("-inf")))).alias(name))
+    left = users.select(*user_columns, net.first_layer(user_features, True).alias("_u"))
+    right = offers.select(net.first_layer(offer_features, False).alias("_o"))
+    pairs = pair_all(left, right, user_columns[0]).select(*user_columns, net.score_from_parts("_u", "_o").alias("_s"))
+    return pairs.groupBy(*user_columns).agg(F.max(F.nanvl("_s", F.lit(float("-inf")))).alias(name))
 
 
 def _tiles(df: DataFrame, key: str, vector: str, prefix: str, rows: int) -> DataFrame:
@@ -138,8 +140,8 @@ def best_partner(
 def best_offer_by_net(users, offers, net, offer_features, tile_rows: int = TILE_ROWS, score_name: str = "score"):
     """Best offer per user by a net of any width."""
     user_features = [f for f in net.features if f not in offer_features]
-    left = users.select("user_key", F.array(*net.first_layer_parts(user_features, "_u", True)).alias("_uv"))
-    right = offers.select("offer_key", F.array(*net.first_layer_parts(offer_features, "_o", False)).alias("_ov"))
+    left = users.select("user_key", net.first_layer(user_features, True).alias("_uv"))
+    right = offers.select("offer_key", net.first_layer(offer_features, False).alias("_ov"))
     return best_partner(
         left, right, "user_key", "offer_key", "_uv", "_ov", _net_block(net.to_arrays()), tile_rows, score_name
     )

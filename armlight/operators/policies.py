@@ -24,12 +24,9 @@ def greedy_linear(users: DataFrame, offers: DataFrame, model, offer_features) ->
         F.struct("offer_key", "offer_part").alias("best")
     )
     user_features = [f for f in model.features if f not in offer_features]
-    z = F.col("_best.offer_part") + model.part(user_features) + F.lit(float(model.intercept))
-    return (
-        users.withColumn("_best", best.scalar())
-        .withColumn("best_offer", F.col("_best.offer_key"))
-        .withColumn("best_score", model.activate(z))
-        .drop("_best")
+    z = F.col("_best.offer_part") + model.part(user_features, model.intercept)
+    return users.withColumn("_best", best.scalar()).select(
+        *users.columns, F.col("_best.offer_key").alias("best_offer"), model.activate(z).alias("best_score")
     )
 
 
@@ -58,7 +55,7 @@ def model_from_table(weights: DataFrame, model):
 def greedy_proto(users: DataFrame, offers: DataFrame, actor, offer_features) -> DataFrame:
     """The actor turns user features into a proto-offer; the best offer is the
     one with the largest dot product."""
-    protos = users.select("user_key", F.array(*actor.outputs()).alias("_proto"))
+    protos = users.select("user_key", actor.output_vector().alias("_proto"))
     vectors = offers.select("offer_key", F.array(*offer_features).alias("_vector"))
     best = best_partner(protos, vectors, "user_key", "offer_key", "_proto", "_vector", score_name="proto_score")
     return users.join(best.withColumnRenamed("offer_key", "best_offer"), "user_key")

@@ -21,34 +21,36 @@ def first_adam_step(weight, gradient, rate=LEARNING_RATE, decay=WEIGHT_DECAY):
     return weight - rate * g / (size + ADAM_EPSILON)
 
 
-def gradient_sums(rows: DataFrame, model, weight: str = "n", prefix: str = "g_"):
+def with_prediction(rows: DataFrame, model, name: str = "_p") -> DataFrame:
+    """Adds the model's score, which the sums below read many times."""
+    return rows.withColumn(name, model.score())
+
+
+def _feature_sums(factor: str, features, prefix: str, power: int = 1):
+    """``sum(factor * x^power)`` per feature; the intercept is a feature that is always 1."""
+    terms = [f"sum({factor}) as {prefix}intercept"]
+    terms += [f"sum({' * '.join([factor] + [f'`{f}`'] * power)}) as `{prefix}{f}`" for f in features]
+    return [F.expr(t) for t in terms]
+
+
+def gradient_sums(model, p: str = "_p"):
     """Aggregates of the squared-error gradient of a linear or logistic model.
 
-    ``rows`` has the features of the pulled offer, reward ``r`` and a row weight.
-    The intercept is a feature that is always 1.
+    The rows have the features of the pulled offer, reward ``r``, a weight ``n``
+    and the prediction.
     """
-    p = model.score()
-    factor = F.lit(2.0) * (p - F.col("r")) * model.slope(p) * F.col(weight)
-    columns = [F.sum(factor).alias(f"{prefix}intercept")]
-    columns += [F.sum(factor * F.col(f)).alias(f"{prefix}{f}") for f in model.features]
-    return columns
+    slope = f" * {p} * (1D - {p})" if model.link == "logit" else ""
+    return _feature_sums(f"(n * 2D * ({p} - r){slope})", model.features, "g_")
 
 
-def precision_sums(model, weight: str = "n", prefix: str = "q_"):
+def precision_sums(model, p: str = "_p"):
     """Aggregates of ``sum(x^2 p (1-p))`` per feature, intercept included."""
-    p = model.score()
-    factor = p * (F.lit(1.0) - p) * F.col(weight)
-    columns = [F.sum(factor).alias(f"{prefix}intercept")]
-    columns += [F.sum(factor * F.col(f) * F.col(f)).alias(f"{prefix}{f}") for f in model.features]
-    return columns
+    return _feature_sums(f"(n * {p} * (1D - {p}))", model.features, "q_", power=2)
 
 
-def log_loss_gradient_sums(model, weight: str = "n", prefix: str = "l_"):
+def log_loss_gradient_sums(model, p: str = "_p"):
     """Aggregates of the log-loss gradient ``sum((p - r) x)``, intercept included."""
-    residual = (model.score() - F.col("r")) * F.col(weight)
-    columns = [F.sum(residual).alias(f"{prefix}intercept")]
-    columns += [F.sum(residual * F.col(f)).alias(f"{prefix}{f}") for f in model.features]
-    return columns
+    return _feature_sums(f"(n * ({p} - r))", model.features, "l_")
 
 
 def long_form(sums: DataFrame, prefix: str, features, name: str) -> DataFrame:
@@ -59,7 +61,7 @@ def long_form(sums: DataFrame, prefix: str, features, name: str) -> DataFrame:
 
 def gradient_step(rows: DataFrame, model, weights: DataFrame, rate=LEARNING_RATE) -> DataFrame:
     """Mean gradient per feature and the weight after one step."""
-    sums = rows.agg(F.sum("n").alias("_rows"), *gradient_sums(rows, model))
+    sums = with_prediction(rows, model).agg(F.sum("n").alias("_rows"), *gradient_sums(model))
     features = ["intercept"] + model.features
     means = sums.select(*[(F.col(f"g_{f}") / F.col("_rows")).alias(f"g_{f}") for f in features])
     grads = long_form(means, "g_", features, "gradient")
@@ -70,18 +72,17 @@ def gradient_step(rows: DataFrame, model, weights: DataFrame, rate=LEARNING_RATE
 
 def posterior_precision(rows: DataFrame, model, weights: DataFrame) -> DataFrame:
     """Precision per feature after seeing the rows: ``q + sum(x^2 p (1-p))``."""
-    added = long_form(rows.agg(*precision_sums(model)), "q_", ["intercept"] + model.features, "q_added")
+    added = long_form(with_prediction(rows, model).agg(*precision_sums(model)), "q_", ["intercept"] + model.features, "q_added")
     return weights.join(added, "feature").select("feature", (F.col("q") + F.col("q_added")).alias("q_new"))
 
 
 def posterior_objective(rows: DataFrame, model, weights: DataFrame) -> DataFrame:
     """Prior term ``0.5 sum(q (w-m)^2)`` and log loss of the rows, in one row."""
-    p = model.score()
-    fit = -(F.col("r") * F.log(p) + (F.lit(1.0) - F.col("r")) * F.log(F.lit(1.0) - p))
     gap = F.col("w") - F.col("m")
     prior = weights.agg(F.sum(F.lit(0.5) * F.col("q") * gap * gap).alias("prior"))
     return (
-        rows.agg(F.sum(F.col("n") * fit).alias("data_term"))
+        with_prediction(rows, model)
+        .agg(F.expr("sum(-n * (r * ln(_p) + (1D - r) * ln(1D - _p)))").alias("data_term"))
         .withColumn("prior_term", prior.scalar())
         .withColumn("objective", F.col("prior_term") + F.col("data_term"))
     )

@@ -56,7 +56,7 @@ def scan_csv_roundtrip(spark, sf):
 
 
 def scan_parquet(spark, sf):
-    rows = S.read_parquet(spark, f"{sf}/events.parquet", ["event_id", "user_id", "value"])
+    rows = S.read_parquet(spark, f"{sf}/events.parquet", ["event_id", "user_id", "value"], I.SCHEMAS["events"])
     return rows.where(F.col("value") >= 50.0)
 
 
@@ -70,7 +70,7 @@ def scan_prefix_files(spark, sf):
 
 
 def sample_scan(spark, sf):
-    events = S.read_parquet(spark, f"{sf}/events.parquet", ["event_id", "user_id"])
+    events = S.read_parquet(spark, f"{sf}/events.parquet", ["event_id", "user_id"], I.SCHEMAS["events"])
     return S.sample_by_hash(events, "event_id", SAMPLE_SHARE, 100)
 
 
@@ -183,8 +183,8 @@ def join_single_key(spark, sf):
     facts = I.interactions(spark, sf).select("event_id", "user_id", "offer_id")
     users = D.with_surrogate_key(D.distinct_dimension(facts, ["user_id"], "event_id"), "user_key")
     offers = D.with_surrogate_key(D.distinct_dimension(facts, ["offer_id"], "event_id"), "offer_key")
-    keyed = D.attach_dimension(facts, S.stage(users, "user-ids"), "user_id", "event_id")
-    return D.attach_dimension(keyed, S.stage(offers, "offer-ids"), "offer_id", "event_id")
+    keyed = D.attach_dimension(facts, users, "user_id", "event_id")
+    return D.attach_dimension(keyed, offers, "offer_id", "event_id")
 
 
 def right_join_fill_zero(spark, sf):

@@ -56,14 +56,13 @@ def in_replay_order(keyed: DataFrame) -> DataFrame:
 
 
 def build_tables(facts: DataFrame) -> ReplayTables:
-    users = stage(user_dimension(facts), "users")
-    offers = stage(offer_dimension(facts), "offers")
-    keyed = with_keys(facts, users, offers).select("event_id", "user_key", "offer_key", "target")
-    replay = stage(in_replay_order(keyed), "replay")
-    valued = best_pair_value(
-        users, offers, ["user_key", *I.USER_COLUMNS], I.reward_net(), I.OFFER_FEATURES, "optimum"
+    offers = offer_dimension(facts)
+    users = best_pair_value(
+        user_dimension(facts), offers, ["user_key", *I.USER_COLUMNS], I.reward_net(), I.OFFER_FEATURES, "optimum"
     )
-    return ReplayTables(stage(valued, "users-valued"), offers, replay)
+    users = stage(users, "users")
+    keyed = with_keys(facts, users, offers).select("event_id", "user_key", "offer_key", "target")
+    return ReplayTables(users, offers, in_replay_order(keyed))
 
 
 _TABLES: dict = {}

@@ -42,12 +42,8 @@ class RoundResult:
 
 
 def _metric_sums():
-    return [
-        F.sum("n").alias("n_events"),
-        F.sum(F.col("n") * F.col("r")).alias("reward"),
-        F.sum(F.col("n") * F.col("loss")).alias("loss"),
-        F.sum(F.col("n") * F.col("regret")).alias("regret"),
-    ]
+    sums = "sum(n) as n_events", "sum(n * r) as reward", "sum(n * loss) as loss", "sum(n * regret) as regret"
+    return [F.expr(s) for s in sums]
 
 
 def linear_round(exposed: DataFrame, tables: ReplayTables, model, compat: bool = False, rate=T.LEARNING_RATE):
@@ -65,7 +61,7 @@ def linear_round(exposed: DataFrame, tables: ReplayTables, model, compat: bool =
         features = best.select(F.struct(*I.OFFER_FEATURES).alias("best"))
         rows = rows.withColumn("_best", features.scalar())
         rows = rows.withColumns({f: F.col(f"_best.{f}") for f in I.OFFER_FEATURES})
-    sums = rows.agg(*_metric_sums(), *T.gradient_sums(rows, model)).first().asDict()
+    sums = T.with_prediction(rows, model).agg(*_metric_sums(), *T.gradient_sums(model)).first().asDict()
     n = sums["n_events"]
     if not n:
         return RoundResult(model, {"n_events": 0, "reward": 0.0, "loss": 0.0, "regret": 0.0})
@@ -218,14 +214,15 @@ def thompson_rounds(
         w = dict(m)
         for _ in range(steps):
             model = as_model(w)
-            s = rows.agg(*T.log_loss_gradient_sums(model), *T.precision_sums(model)).first()
+            fitted = T.with_prediction(rows, model)
+            s = fitted.agg(*T.log_loss_gradient_sums(model), *T.precision_sums(model)).first()
             w = {
                 f: w[f]
                 - (q[f] * (w[f] - m[f]) + (s[f"l_{f}"] or 0.0)) / (len(names) * (q[f] + (s[f"q_{f}"] or 0.0)))
                 for f in names
             }
         model = as_model(w)
-        s = rows.agg(
+        s = T.with_prediction(rows, model).agg(
             F.sum("n").alias("n_events"),
             F.sum(F.col("n") * F.col("r")).alias("reward"),
             F.sum("loss").alias("loss"),

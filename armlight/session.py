@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict = {}
+
+
 def build_session(app="armlight", master="local[8]", shuffle_partitions=None, memory=None):
     """A session for tests and benchmarks; on a cluster use the one it gives."""
     builder = (
@@ -35,9 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="armlight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="armlight-")
+    return _LOCAL_FOLDERS[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

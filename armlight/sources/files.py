@@ -20,8 +20,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
-def read_parquet(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, columns=None, schema=None) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(path)
     return df.select(*columns) if columns else df
 
 

@@ -92,8 +92,20 @@ def policy_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, w double, m double, q double")
 
 
+# declared, so that building a query opens no file
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,26 +129,25 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = attach_dimension(events, customers, "user_id", "event_id")
     joined = attach_dimension(joined, parts, "offer_id", "event_id")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return joined.select(
+    return joined.selectExpr(
         "event_id",
         "user_id",
         "offer_id",
         "redeem_date",
         "event_type",
         "value",
-        (F.col("c_acctbal") / F.lit(1e4)).alias("u_bal"),
-        F.when(F.col("c_mktsegment") == "BUILDING", one).otherwise(zero).alias("u_bld"),
-        (F.col("c_nationkey") / F.lit(25.0)).alias("u_nat"),
-        (F.col("p_size") / F.lit(50.0)).alias("o_size"),
-        (F.col("p_retailprice") / F.lit(1e3)).alias("o_price"),
-        F.when(F.col("p_type") == "PROMO", one).otherwise(zero).alias("o_promo"),
-        (F.col("c_acctbal") / F.lit(100.0)).alias("tenure_seeds"),
-        F.col("c_nationkey").cast("double").alias("recency_seeds"),
-        F.col("value").alias("dollars_seeds"),
-        F.col("p_size").cast("double").alias("units_seeds"),
-        F.col("p_retailprice").alias("trips_seeds"),
-        F.when(F.col("value") >= F.lit(50.0), 1).otherwise(0).alias("target"),
+        "c_acctbal / 1e4D as u_bal",
+        "if(c_mktsegment = 'BUILDING', 1D, 0D) as u_bld",
+        "c_nationkey / 25D as u_nat",
+        "p_size / 50D as o_size",
+        "p_retailprice / 1e3D as o_price",
+        "if(p_type = 'PROMO', 1D, 0D) as o_promo",
+        "c_acctbal / 100D as tenure_seeds",
+        "cast(c_nationkey as double) as recency_seeds",
+        "value as dollars_seeds",
+        "cast(p_size as double) as units_seeds",
+        "p_retailprice as trips_seeds",
+        "if(value >= 50D, 1, 0) as target",
     )
 
 
