@@ -1 +1,9 @@
 """Policy analytics for offer recommendation on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the Python workers by value, so executors
+# need no installed copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

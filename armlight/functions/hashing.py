@@ -25,5 +25,5 @@ def normal(seed, *parts) -> Column:
 
 
 def shuffle_key(seed, *parts) -> Column:
-    """Sort key of a repeatable shuffle."""
-    return F.expr(f"md5({_key(seed, parts)})")
+    """Sort key of a repeatable shuffle: 60 bits, so ties need a second sort column."""
+    return F.expr(f"cast(conv(substr(md5({_key(seed, parts)}), 1, 15), 16, 10) as bigint)")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # nets with more weights than this are scored in Arrow batches with numpy
@@ -142,11 +142,6 @@ class DenseNet:
         ]
         return F.expr(f"array({', '.join(units)})")
 
-    def score_from_parts(self, left: str, right: str) -> Column:
-        """First output of a pair from the two first-layer arrays; for small nets."""
-        units = range(len(self.layers[0][0]))
-        return F.expr(self._finish([f"({left}[{u}] + {right}[{u}])" for u in units])[0])
-
     def to_arrays(self) -> "ArrayNet":
         return ArrayNet(
             [(np.asarray(m, dtype=float), np.asarray(b, dtype=float)) for m, b in self.layers],
@@ -171,6 +166,12 @@ class ArrayNet:
         return self.finish(x @ matrix.T + bias)
 
 
+def weights_table(spark: SparkSession, rows, names) -> DataFrame:
+    """Rows (feature, number, ...) as a table that is part of the plan itself."""
+    cells = ", ".join("('" + r[0] + "', " + ", ".join(number(v) for v in r[1:]) + ")" for r in rows)
+    return spark.sql(f"select * from values {cells} as t(feature, {', '.join(names)})")
+
+
 def layer_widths(n: int, rule: str = "quarter"):
     """Widths by rule: "quarter" is n, n/4, n/8, 1 rounded half to even;
     "halving" is n, n//2, n//4, n//8, n//16, 1; "critic" is n, n/4, 1.

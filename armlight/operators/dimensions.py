@@ -24,7 +24,7 @@ def distinct_dimension(fact: DataFrame, columns, position: str | None = None) ->
 
 def with_surrogate_key(dim: DataFrame, key: str, first_seen: str = "first_seen") -> DataFrame:
     """Dense zero-based key in first-seen order."""
-    return number_rows(dim, [first_seen], key, start=0).drop(first_seen)
+    return number_rows(dim, [first_seen], key, start=0, drop=[first_seen])
 
 
 def attach_dimension(

@@ -15,8 +15,13 @@ from armlight.session import fits_broadcast, shuffle_width
 
 BROADCAST_GROUPS = 8
 TILE_ROWS = 1024
-# float64 cells of one intermediate block in a task (32 MB)
-BLOCK_CELLS = 4_000_000
+# pairs scored at once: as many as one matrix product should have, as many as keep a
+# handful of planes in cache, and as many hidden cells as one task should hold
+DOT_PAIRS = 500_000
+PLANE_PAIRS = 20_000
+HIDDEN_CELLS = 4_000_000
+# largest product of first and second layer width that is scored unit by unit
+NARROW_UNITS = 256
 
 
 def pair_all(left: DataFrame, right: DataFrame, left_key: str, groups: int | None = None) -> DataFrame:
@@ -34,28 +39,17 @@ def pair_all(left: DataFrame, right: DataFrame, left_key: str, groups: int | Non
     return grouped.join(copies, "_group").drop("_group")
 
 
-def best_pair_value(users: DataFrame, offers: DataFrame, user_columns, net, offer_features, name: str) -> DataFrame:
-    """Highest score over all offers for each user.
+def _tiles(df: DataFrame, key: str, vector: str, prefix: str, rows: int) -> DataFrame:
+    """Rows packed by key range; keys are unique, so a tile has at most ``rows`` rows.
 
-    The first layer is computed per user and per offer; a pair costs only the
-    remaining layers. For a small net the maximum is combined map-side, so pairs
-    are never shuffled nor held; a wide net is scored in tiles.
+    The number of partitions is given, as tiles are few bytes but much work and
+    would otherwise be coalesced into few tasks.
     """
-    if not net.small:
-        best = best_offer_by_net(users, offers, net, offer_features, score_name=name)
-        return users.select(*user_columns).join(best.select("user_key", name), "user_key").select(*user_columns, name)
-    user_features = [f for f in net.features if f not in offer_features]
-    left = users.select(*user_columns, net.first_layer(user_features, True).alias("_u"))
-    right = offers.select(net.first_layer(offer_features, False).alias("_o"))
-    pairs = pair_all(left, right, user_columns[0]).select(*user_columns, net.score_from_parts("_u", "_o").alias("_s"))
-    return pairs.groupBy(*user_columns).agg(F.max(F.nanvl("_s", F.lit(float("-inf")))).alias(name))
-
-
-def _tiles(df: DataFrame, key: str, vector: str, prefix: str, rows: int) -> DataFrame:
-    """Rows packed by key range; keys are unique, so a tile has at most ``rows`` rows."""
     cells = F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v")))
     return (
-        df.groupBy(in_batches(key, rows, start=0).alias(f"{prefix}tile"))
+        df.select(in_batches(key, rows, start=0).alias(f"{prefix}tile"), key, vector)
+        .repartition(2 * df.sparkSession.sparkContext.defaultParallelism, f"{prefix}tile")
+        .groupBy(f"{prefix}tile")
         .agg(cells.alias("_cells"))
         .select(f"{prefix}tile", F.col("_cells.k").alias(f"{prefix}keys"), F.col("_cells.v").alias(f"{prefix}vectors"))
     )
@@ -65,18 +59,43 @@ def _dot_block(left, right):
     return left @ right.T
 
 
+def _dot_rows(left, right):
+    """Row by row, so that equal vectors give equal scores wherever they stand in a block."""
+    return (left * right).sum(axis=1)
+
+
 def _net_block(net):
-    """Scores of a block of users against a block of offers from first-layer parts."""
+    """Scores of users against offers from first-layer parts, and the pairs per block."""
+    matrix, bias = net.layers[1]
+    units = matrix.shape[1]
+    is_narrow = matrix.size <= NARROW_UNITS
+
+    def narrow(left, right):
+        # unit by unit on contiguous (users x offers) planes: with few units the
+        # matrix products below would be too thin to be worth it
+        sums = [np.full((len(left), len(right)), b) for b in bias]
+        plane = np.empty((len(left), len(right)))
+        for unit in range(left.shape[1]):
+            np.add(left[:, unit, None], right[None, :, unit], out=plane)
+            np.maximum(plane, 0.0, out=plane)
+            for out, row in zip(sums, matrix):
+                out += row[unit] * plane
+        return sums
 
     def block(left, right):
-        hidden = left[:, None, :] + right[None, :, :]
-        flat = hidden.reshape(-1, hidden.shape[2])
-        return net.finish(flat)[:, 0].reshape(hidden.shape[:2])
+        if not is_narrow:
+            hidden = left[:, None, :] + right[None, :, :]
+            return net.finish(hidden.reshape(-1, hidden.shape[2]))[:, 0].reshape(hidden.shape[:2])
+        planes = narrow(left, right)
+        for weights, shift in net.layers[2:]:
+            inputs = [np.maximum(p, 0.0) for p in planes]
+            planes = [sum(w * x for w, x in zip(row, inputs)) + b for row, b in zip(weights, shift)]
+        return 1.0 / (1.0 + np.exp(-planes[0])) if net.sigmoid_out else planes[0]
 
-    return block
+    return block, PLANE_PAIRS if is_narrow else max(1, HIDDEN_CELLS // units)
 
 
-def _best_in_tiles(score_block):
+def _best_in_tiles(score_block, block_pairs, score_rows=None):
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -84,19 +103,27 @@ def _best_in_tiles(score_block):
                 order = np.argsort(right_keys, kind="stable")
                 right_keys = right_keys[order]
                 right = np.stack([np.asarray(v, dtype=float) for v in row.r_vectors])[order]
+                # of equal vectors only the lowest key can win
+                right, first = np.unique(right, axis=0, return_index=True)
+                by_key = np.argsort(first)
+                right, right_keys = right[by_key], right_keys[first[by_key]]
                 left_keys = np.asarray(row.l_keys)
                 left = np.stack([np.asarray(v, dtype=float) for v in row.l_vectors])
-                step = max(1, BLOCK_CELLS // (len(right_keys) * right.shape[1]))
+                step = max(1, block_pairs // len(right_keys))
                 for at in range(0, len(left_keys), step):
-                    scores = score_block(left[at : at + step], right)
+                    part = left[at : at + step]
+                    scores = score_block(part, right)
                     scores = np.where(np.isnan(scores), -np.inf, scores)
                     # the first maximum is the lowest key, as keys are sorted
                     best = scores.argmax(axis=1)
+                    top = scores[np.arange(len(best)), best]
+                    if score_rows:
+                        top = np.where(np.isinf(top), top, score_rows(part, right[best]))
                     yield pd.DataFrame(
                         {
                             "left_key": left_keys[at : at + step],
                             "right_key": right_keys[best],
-                            "score": scores[np.arange(len(best)), best],
+                            "score": top,
                         }
                     )
 
@@ -110,7 +137,7 @@ def best_partner(
     right_key: str,
     left_vector: str,
     right_vector: str,
-    score_block=_dot_block,
+    scorer=(_dot_block, DOT_PAIRS, _dot_rows),
     tile_rows: int = TILE_ROWS,
     score_name: str = "score",
 ) -> DataFrame:
@@ -125,7 +152,7 @@ def best_partner(
     right_tiles = _tiles(right, right_key, right_vector, "r_", tile_rows)
     paired = pair_all(left_tiles, right_tiles, "l_tile").select("l_keys", "l_vectors", "r_keys", "r_vectors")
     partial = paired.mapInPandas(
-        _best_in_tiles(score_block), "left_key bigint, right_key bigint, score double"
+        _best_in_tiles(*scorer), "left_key bigint, right_key bigint, score double"
     )
     order = Window.partitionBy("left_key").orderBy(F.desc("score"), F.asc("right_key"))
     return (
@@ -147,6 +174,16 @@ def best_offer_by_net(users, offers, net, offer_features, tile_rows: int = TILE_
     )
 
 
+def best_pair_value(users: DataFrame, offers: DataFrame, user_columns, net, offer_features, name: str) -> DataFrame:
+    """Highest score over all offers for each user, beside the user's columns.
+
+    Pairs are scored as blocks inside the tasks: ten times as many per second as
+    one generated row per pair and an aggregation over them.
+    """
+    best = best_offer_by_net(users, offers, net, offer_features, score_name=name).select("user_key", name)
+    return users.select(*user_columns).join(best, "user_key").select(*user_columns, name)
+
+
 def best_by_rank(scored: DataFrame, group: str, score: str, key: str) -> DataFrame:
     """Row with the highest score per group of a frame of pairs; ties to the lowest key.
 

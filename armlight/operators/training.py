@@ -96,7 +96,7 @@ def holdout_flag(key, share: float = 0.10, seed=100):
 def shuffled_batches(rows: DataFrame, key: str, epochs: int, size: int = 126, seed=100) -> DataFrame:
     """Minibatch number of every row in every epoch, in a new order each epoch."""
     replayed = replicate_epochs(rows.select(key), epochs).withColumn("_order", shuffle_key(seed, "epoch", key))
-    numbered = number_rows(replayed, ["epoch", "_order", key], "_row", start=0, total="_total")
+    numbered = number_rows(replayed, ["epoch", "_order", key], "_row", start=0, total="_total", drop=["_order"])
     place = F.col("_row") - F.col("epoch") * (F.col("_total") / F.lit(epochs))
     return numbered.select("epoch", key, F.floor(place / F.lit(size)).cast("bigint").alias("batch"))
 

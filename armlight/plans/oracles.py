@@ -516,7 +516,7 @@ def oracle_sql() -> dict:
         "thompson_rounds": thompson_rounds_sql(),
         "train_holdout_split": facts(f"select event_id, {_SPLIT} as split from inter"),
         "shuffled_batches": facts(
-            """select epoch, event_id, (row_number() over (partition by epoch order by md5(concat_ws(':', '100', epoch, event_id)), event_id) - 1)//126 as batch
+            """select epoch, event_id, (row_number() over (partition by epoch order by ('0x' || substr(md5(concat_ws(':', '100', epoch, event_id)), 1, 15))::bigint, event_id) - 1)//126 as batch
  from inter, (select unnest(range(2)) as epoch)"""
         ),
         "score_table": facts(

@@ -141,9 +141,18 @@ def policy_metrics(
     metrics=("r", "loss", "regret"),
     seed=SEED,
 ) -> DataFrame:
-    """Reward, loss and regret per complete batch."""
-    sums = M.batch_sums(reward_rows(tables, policy, size, epochs, seed), metrics, ("epoch", "batch"))
-    return M.complete(sums, size)
+    """Reward, loss and regret per complete batch.
+
+    A policy that does not explore repeats itself in every epoch, so only its
+    finished batches are replicated.
+    """
+    own = epochs if policy.epsilon > 0 else 1
+    sums = M.batch_sums(reward_rows(tables, policy, size, own, seed), metrics, ("epoch", "batch"))
+    batches = M.complete(sums, size)
+    if own == epochs:
+        return batches
+    columns = batches.columns
+    return replicate_epochs(batches.drop("epoch"), epochs).select(*columns)
 
 
 def batches_per_epoch(tables: ReplayTables, size: int = M.BATCH_ROWS) -> Column:

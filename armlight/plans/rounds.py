@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlight.functions.models import DenseNet
+from armlight.functions.models import DenseNet, weights_table
 from armlight.operators import metrics as M
 from armlight.operators import policies as P
 from armlight.operators import training as T
@@ -199,7 +199,7 @@ def thompson_rounds(
 
     log = []
     for batch in range(rounds):
-        prior = spark.createDataFrame([(f, m[f], m[f], q[f]) for f in names], "feature string, w double, m double, q double")
+        prior = weights_table(spark, [(f, m[f], m[f], q[f]) for f in names], ("w", "m", "q"))
         drawn = P.model_from_table(P.thompson_weights(prior, f"{seed}r{batch}", std), base)
         users = P.greedy_linear(tables.users, tables.offers, drawn, I.OFFER_FEATURES)
         part = exposed.where((F.col("epoch") == 0) & (F.col("batch") == batch))

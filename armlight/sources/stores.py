@@ -3,14 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armlight.functions.models import LinearModel
+from armlight.functions.models import LinearModel, weights_table
 from armlight.operators.policies import model_from_table
 
 
 def model_table(spark: SparkSession, model: LinearModel) -> DataFrame:
     """A linear model as rows (feature, w), intercept first."""
     rows = [("intercept", float(model.intercept))] + [(f, float(w)) for f, w in model.weights.items()]
-    return spark.createDataFrame(rows, "feature string, w double")
+    return weights_table(spark, rows, ["w"])
 
 
 def save_model(spark: SparkSession, model: LinearModel, path: str, version: int = 0) -> None:
