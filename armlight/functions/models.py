@@ -113,6 +113,18 @@ class DenseNet:
     def batch_score(self) -> Column:
         return self._batched(lambda net, x: net.forward(x)[:, 0], "double")
 
+    def score_array(self, vector: str) -> Column:
+        """First output for features held in one array column, in Arrow batches."""
+        net = self.to_arrays()
+
+        @F.pandas_udf("double")
+        def run(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=float)
+            return pd.Series(net.forward(np.stack(vectors.to_numpy()).astype(float))[:, 0])
+
+        return run(F.col(vector))
+
     def _batched(self, compute, returns="array<double>", columns=None) -> Column:
         net = self.to_arrays()
 
@@ -183,8 +195,14 @@ def layer_widths(n: int, rule: str = "quarter"):
     return [n, round(n / 4), round(n / 8), 1]
 
 
-def add_score(df: DataFrame, model, name: str = "prob") -> DataFrame:
-    return df.withColumn(name, model.score())
+def rule_net(widths) -> DenseNet:
+    """A net of any size with weights from a rule: waves over unit and input."""
+    layers = []
+    for depth, (n_in, n_out) in enumerate(zip(widths, widths[1:])):
+        unit, place = np.arange(n_out)[:, None], np.arange(n_in)[None, :]
+        matrix = np.sin(1.0 + 1000.0 * depth + 37.0 * unit + 11.0 * place) / np.sqrt(n_in)
+        layers.append((matrix.tolist(), np.cos(np.arange(n_out) + float(depth)).tolist()))
+    return DenseNet(tuple(f"x{i}" for i in range(widths[0])), tuple(layers))
 
 
 def reward(prob: str, threshold: float = 0.5) -> Column:

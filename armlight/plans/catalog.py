@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlight.functions import vectors as V
-from armlight.functions.models import reward
+from armlight.functions.models import layer_widths, reward, rule_net
 from armlight.operators import dimensions as D
 from armlight.operators import lift as L
 from armlight.operators import metrics as M
@@ -423,6 +423,13 @@ def score_mlp_batched(spark, sf):
     return _round(rows, 9, "score")
 
 
+def score_mlp_wide(spark, sf):
+    """A net over whole embeddings, widths n, n/4, n/8, 1."""
+    net = rule_net(layer_widths(EMBEDDING_WIDTH))
+    rows = I.table(spark, sf, "embeddings").select("vec_id", net.score_array("embedding").alias("score"))
+    return _round(rows, 6, "score")
+
+
 def vector_dot(spark, sf):
     vectors = I.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding")
     joined = D.attach_dimension(vectors, S.stage(_centroids(spark, sf), "centroids"), "label", "vec_id")
@@ -454,8 +461,10 @@ def policy_egreedy(spark, sf):
     return rows.select("seq", F.coalesce("explored", "best_offer").alias("offer_key"), F.col("explored").isNotNull().cast("int").alias("explores"))
 
 
-def _thompson_policy(spark, std="1/sqrt(q)"):
+def _thompson_policy(spark, std="1/sqrt(q)", intercept=True):
     drawn = P.thompson_weights(I.policy_table(spark), R.SEED, std)
+    if not intercept:
+        drawn = drawn.where(F.col("feature") != "intercept")
     return R.Policy("logit", weights=P.model_from_table(drawn, I.policy_model()))
 
 
@@ -467,6 +476,10 @@ def policy_thompson_inverse(spark, sf):
     return _choices(spark, sf, _thompson_policy(spark, "1/q"))
 
 
+def policy_thompson_no_intercept(spark, sf):
+    return _choices(spark, sf, _thompson_policy(spark, intercept=False))
+
+
 def policy_proto_arm(spark, sf):
     t = _tables(spark, sf)
     rows = R.decide(t, R.Policy("proto")).withColumn("offer_key", F.col("best_offer"))
@@ -583,6 +596,7 @@ def stream_policy_update(spark, sf):
 REPLAYS = {
     "policy_metrics": lambda spark: LOGIT,
     "policy_metrics_logit_egreedy": lambda spark: LOGIT_EXPLORE,
+    "policy_metrics_egreedy_pulled_loss": lambda spark: R.Policy("logit", R.EPSILON, loss_on="pulled"),
     "policy_metrics_linear_greedy": lambda spark: R.Policy("linear"),
     "policy_metrics_linear_egreedy": lambda spark: R.Policy("linear", R.EPSILON),
     "policy_metrics_deep_greedy": lambda spark: R.Policy("deep"),
@@ -604,9 +618,9 @@ QUERIES = {
         posterior_precision, posterior_objective,
         learning_curve, curve_iteration, event_sequence, lift_bins, lift_cumulative, lift_compare,
         sort_by_key, head_n, argmax_arm, proto_arm_top1, nearest_vector, policy_compare,
-        score_linear, score_logit, score_mlp, score_mlp_batched, vector_dot,
+        score_linear, score_logit, score_mlp, score_mlp_batched, score_mlp_wide, vector_dot,
         policy_greedy, policy_greedy_linear, policy_greedy_deep, policy_egreedy, policy_thompson,
-        policy_thompson_inverse, policy_proto_arm, reward_of_choice,
+        policy_thompson_inverse, policy_thompson_no_intercept, policy_proto_arm, reward_of_choice,
         policy_rounds, policy_rounds_linear, policy_rounds_egreedy, policy_rounds_egreedy_compat, policy_rounds_deep,
         thompson_rounds, train_holdout_split, shuffled_batches, reward_model_fit, reward_model_logit, score_table,
         feature_set_eval, stream_batch_metrics, stream_policy_update,

@@ -108,20 +108,20 @@ best as (select * from (select *, row_number() over (partition by user_key order
 LINK = {"logit": logit_sql(), "linear": linear_sql(), "deep": DEEP, "proto": PROTO_DOT}
 
 
-def thompson_ctes(std: str) -> str:
+def thompson_ctes(std: str, intercept: bool = True) -> str:
     """Best offer per user with drawn weights, as a long sum over the features."""
     rows = [("intercept", I.POLICY_INTERCEPT)] + list(I.POLICY_WEIGHTS.items())
     values = ", ".join(f"('{f}', {_number(m)}, {_number(I.POLICY_PRECISIONS[f])})" for f, m in rows)
     z = " + ".join(
         [f"(select w from drawn where feature = '{f}')*{f}" for f in I.POLICY_WEIGHTS]
-        + ["(select w from drawn where feature = 'intercept')"]
+        + (["(select w from drawn where feature = 'intercept')"] if intercept else [])
     )
     return f"""weights(feature, m, q) as (values {values}),
 drawn as (select feature, m + (1e0/{std}) * {normal_sql(7, 'feature')} as w from weights),
 {choice_ctes(sigmoid_sql('(' + z + ')'))}"""
 
 
-def metric_ctes(model: str, epsilon: float = 0.0, epochs: int = 1, choices: str | None = None) -> str:
+def metric_ctes(model: str, epsilon: float = 0.0, epochs: int = 1, choices: str | None = None, pulled: bool = False) -> str:
     """Per event: pulled offer, reward, loss and the three regrets."""
     explored = "cast(null as bigint)"
     if epsilon:
@@ -133,7 +133,8 @@ def metric_ctes(model: str, epsilon: float = 0.0, epochs: int = 1, choices: str
         )
     if choices is None:
         choices = choice_ctes(LINK[model], CRITIC if model == "proto" else None)
-    pred = "pulled.pred_pulled" if model == "proto" else "b.pred"
+    pred = "pulled.pred_pulled" if model == "proto" or pulled else "b.pred"
+    value = LINK[model] if pulled else CRITIC
     return f"""{choices},
 events_e as (select seq, user_key, (seq - 1)//128 as batch, epoch from replay, (select unnest(range({epochs})) as epoch)),
 ex as (select *, {explored} as explored from events_e),
@@ -141,7 +142,7 @@ per_event as (
  select ex.epoch, ex.batch, ex.seq, ex.user_key, pulled.offer_key,
   cast(pulled.reward_prob >= 0.5e0 as int)::double as r, pulled.reward_prob as r_prob, o.optimum, {pred} as pred, {', '.join('pulled.' + f for f in I.FEATURES)}
  from ex join best b on ex.user_key = b.user_key join optima o on o.user_key = ex.user_key
- join (select *, {CRITIC} as pred_pulled from pairs) pulled
+ join (select *, {value} as pred_pulled from pairs) pulled
   on pulled.user_key = ex.user_key and pulled.offer_key = coalesce(ex.explored, b.offer_key)),
 batches as (
  select epoch, batch, count(*) as n_events, sum(r) as reward, sum(abs(r - pred)) as loss,
@@ -150,10 +151,10 @@ batches as (
  from per_event group by epoch, batch having count(*) = 128)"""
 
 
-def metrics_sql(model, epsilon=0.0, choices=None) -> str:
+def metrics_sql(model, epsilon=0.0, choices=None, pulled=False) -> str:
     return dims(
         f"select batch, n_events, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from batches",
-        metric_ctes(model, epsilon, choices=choices),
+        metric_ctes(model, epsilon, choices=choices, pulled=pulled),
     )
 
 
@@ -377,6 +378,20 @@ _CENTROIDS = """cells as (
 centroids as (select label, pos, avg(v) as c from cells group by label, pos)"""
 
 
+def wide_net_sql(widths) -> str:
+    """The rule-made net as one grouped sum per layer."""
+    ctes = ["h0 as (select vec_id, unnest(range(64)) as pos, unnest(embedding)::double as h from embeddings)"]
+    for depth, (n_in, n_out) in enumerate(zip(widths, widths[1:])):
+        weight = f"sin(1e0 + 1e3*{depth} + 37e0*u + 11e0*pos)/sqrt({n_in}e0)"
+        z = f"sum(h*{weight}) + cos(u + {depth}e0)"
+        last = depth == len(widths) - 2
+        ctes.append(
+            f"""h{depth + 1} as (select vec_id, u as pos, {z if last else f'greatest({z}, 0e0)'} as h
+ from h{depth}, (select unnest(range({n_out})) as u) group by vec_id, u)"""
+        )
+    return f"with {', '.join(ctes)} select vec_id, {rnd(sigmoid_sql('h'), 6, 'score')} from h{len(widths) - 1}"
+
+
 def _elements(columns):
     return ", ".join(f"{c} as x{i}" for i, c in enumerate(columns))
 
@@ -490,6 +505,7 @@ def oracle_sql() -> dict:
         "score_logit": facts(f"select event_id, {rnd(logit_sql(), 9, 'score')} from inter"),
         "score_mlp": facts(f"select event_id, {rnd(REWARD, 9, 'score')} from inter"),
         "score_mlp_batched": facts(f"select event_id, {rnd(REWARD, 9, 'score')} from inter"),
+        "score_mlp_wide": wide_net_sql((64, 16, 8, 1)),
         "vector_dot": f"""with {_CENTROIDS} select y.vec_id, {rnd('sum(x.c*y.v)', 5, 'dot')}
  from cells y join centroids x on x.label = y.label and x.pos = y.pos group by y.vec_id""",
         "policy_greedy": choice_sql(LINK["logit"]),
@@ -501,6 +517,7 @@ def oracle_sql() -> dict:
         ),
         "policy_thompson": choice_sql(None, thompson_ctes("sqrt(q)")),
         "policy_thompson_inverse": choice_sql(None, thompson_ctes("q")),
+        "policy_thompson_no_intercept": choice_sql(None, thompson_ctes("sqrt(q)", intercept=False)),
         "policy_proto_arm": dims(
             f"select user_key, offer_key as best_offer, {rnd('score', 9, 'proto_score')}, {rnd('pred', 9, 'value')} from best",
             choice_ctes(PROTO_DOT, CRITIC),
@@ -526,6 +543,7 @@ def oracle_sql() -> dict:
         "stream_batch_metrics": metrics_sql("logit"),
         "policy_metrics": metrics_sql("logit"),
         "policy_metrics_logit_egreedy": metrics_sql("logit", 0.1),
+        "policy_metrics_egreedy_pulled_loss": metrics_sql("logit", 0.1, pulled=True),
         "policy_metrics_linear_greedy": metrics_sql("linear"),
         "policy_metrics_linear_egreedy": metrics_sql("linear", 0.1),
         "policy_metrics_deep_greedy": metrics_sql("deep"),

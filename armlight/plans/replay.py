@@ -1,10 +1,11 @@
 """Policy replay: dimensions, ordered events, policy choices, batch metrics."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from armlight.functions.models import DenseNet, LinearModel
 from armlight.operators import metrics as M
 from armlight.operators import policies as P
 from armlight.operators.dimensions import attach_dimension, distinct_dimension, with_surrogate_key
@@ -18,6 +19,34 @@ EPSILON = 0.1
 SEED = 7
 
 
+@dataclass(frozen=True)
+class ReplaySpec:
+    """Columns of an interaction table and the models of a replay.
+
+    Any table with an id per user and offer, their feature columns and a position
+    can be replayed; the defaults describe the tables at hand.
+    """
+
+    user_id: str = "user_id"
+    offer_id: str = "offer_id"
+    user_features: tuple = tuple(I.USER_FEATURES)
+    offer_features: tuple = tuple(I.OFFER_FEATURES)
+    position: str = "event_id"
+    reward: DenseNet = field(default_factory=I.reward_net)
+    linear: LinearModel = field(default_factory=I.policy_model)
+    deep: DenseNet = field(default_factory=I.deep_policy_net)
+    actor: DenseNet = field(default_factory=I.actor_net)
+    critic: DenseNet = field(default_factory=I.critic_net)
+
+    @property
+    def user_columns(self):
+        return [self.user_id, *self.user_features]
+
+    @property
+    def offer_columns(self):
+        return [self.offer_id, *self.offer_features]
+
+
 @dataclass(frozen=True)
 class ReplayTables:
     """Tables a replay reads, written once to the shared folder.
@@ -30,39 +59,38 @@ class ReplayTables:
     users: DataFrame
     offers: DataFrame
     replay: DataFrame
+    spec: ReplaySpec
 
 
-def user_dimension(facts: DataFrame) -> DataFrame:
-    return with_surrogate_key(distinct_dimension(facts, I.USER_COLUMNS, "event_id"), "user_key")
+def user_dimension(facts: DataFrame, spec: ReplaySpec = ReplaySpec()) -> DataFrame:
+    return with_surrogate_key(distinct_dimension(facts, spec.user_columns, spec.position), "user_key")
 
 
-def offer_dimension(facts: DataFrame) -> DataFrame:
-    return with_surrogate_key(distinct_dimension(facts, I.OFFER_COLUMNS, "event_id"), "offer_key")
+def offer_dimension(facts: DataFrame, spec: ReplaySpec = ReplaySpec()) -> DataFrame:
+    return with_surrogate_key(distinct_dimension(facts, spec.offer_columns, spec.position), "offer_key")
 
 
-def with_keys(facts: DataFrame, users: DataFrame, offers: DataFrame) -> DataFrame:
+def with_keys(facts: DataFrame, users: DataFrame, offers: DataFrame, spec: ReplaySpec = ReplaySpec()) -> DataFrame:
     """The fact with both surrogate keys, joined on the whole feature vectors."""
-    keyed = attach_dimension(
-        facts, users.select("user_key", *I.USER_COLUMNS), I.USER_COLUMNS, "event_id", null_safe=True
-    )
-    return attach_dimension(
-        keyed, offers.select("offer_key", *I.OFFER_COLUMNS), I.OFFER_COLUMNS, "event_id", null_safe=True
-    )
+    users = users.select("user_key", *spec.user_columns)
+    offers = offers.select("offer_key", *spec.offer_columns)
+    keyed = attach_dimension(facts, users, spec.user_columns, spec.position, null_safe=True)
+    return attach_dimension(keyed, offers, spec.offer_columns, spec.position, null_safe=True)
 
 
-def in_replay_order(keyed: DataFrame) -> DataFrame:
+def in_replay_order(keyed: DataFrame, position: str = "event_id") -> DataFrame:
     """Dense 1-based ``seq``: events of the first-seen user first, each in log order."""
-    return number_rows(keyed, ["user_key", "event_id"], "seq")
+    return number_rows(keyed, ["user_key", position], "seq")
 
 
-def build_tables(facts: DataFrame) -> ReplayTables:
-    offers = offer_dimension(facts)
+def build_tables(facts: DataFrame, spec: ReplaySpec = ReplaySpec()) -> ReplayTables:
+    offers = offer_dimension(facts, spec)
     users = best_pair_value(
-        user_dimension(facts), offers, ["user_key", *I.USER_COLUMNS], I.reward_net(), I.OFFER_FEATURES, "optimum"
+        user_dimension(facts, spec), offers, ["user_key", *spec.user_columns], spec.reward, spec.offer_features, "optimum"
     )
     users = stage(users, "users")
-    keyed = with_keys(facts, users, offers).select("event_id", "user_key", "offer_key", "target")
-    return ReplayTables(users, offers, in_replay_order(keyed))
+    keyed = with_keys(facts, users, offers, spec).select(spec.position, "user_key", "offer_key")
+    return ReplayTables(users, offers, in_replay_order(keyed, spec.position), spec)
 
 
 _TABLES: dict = {}
@@ -81,16 +109,18 @@ class Policy:
     """A scoring model and a way to choose.
 
     ``model``: "linear", "logit", "deep" or "proto". ``epsilon`` > 0 explores.
-    ``weights`` replaces the weights of a linear or logistic model.
+    ``weights`` replaces the weights of a linear or logistic model. ``loss_on``
+    tells which prediction the loss takes: that of the best offer, also where
+    another one was pulled, or that of the "pulled" one.
     """
 
     model: str = "logit"
     epsilon: float = 0.0
     weights: object = None
+    loss_on: str = "best"
 
-    @property
-    def linear_model(self):
-        return self.weights or I.policy_model("linear" if self.model == "linear" else "logit")
+    def linear_model(self, spec: ReplaySpec) -> LinearModel:
+        return self.weights or replace(spec.linear, link="linear" if self.model == "linear" else "logit")
 
 
 def decide(tables: ReplayTables, policy: Policy) -> DataFrame:
@@ -99,19 +129,24 @@ def decide(tables: ReplayTables, policy: Policy) -> DataFrame:
     Net policies differ by user; their choices are written once, as the metrics
     and the offer lookup both read them.
     """
+    spec, users, offers = tables.spec, tables.users, tables.offers
     if policy.model in ("linear", "logit"):
-        return P.greedy_linear(tables.users, tables.offers, policy.linear_model, I.OFFER_FEATURES)
+        return P.greedy_linear(users, offers, policy.linear_model(spec), spec.offer_features)
     if policy.model == "deep":
-        return stage(P.greedy_net(tables.users, tables.offers, I.deep_policy_net(), I.OFFER_FEATURES), "choices")
+        return stage(P.greedy_net(users, offers, spec.deep, spec.offer_features), "choices")
     if policy.model == "proto":
-        chosen = P.greedy_proto(tables.users, tables.offers, I.actor_net(), I.OFFER_FEATURES)
+        chosen = P.greedy_proto(users, offers, spec.actor, spec.offer_features)
         return stage(chosen.withColumn("best_score", F.lit(None).cast("double")), "choices")
     raise ValueError(f"unknown policy model {policy.model!r}")
 
 
-def prediction(policy: Policy) -> Column:
-    """What the loss compares with the reward: the best score, or the critic's value."""
-    return I.critic_net().score() if policy.model == "proto" else F.col("best_score")
+def prediction(tables: ReplayTables, policy: Policy) -> Column:
+    """What the loss compares with the reward: a score of the policy, or the critic's value."""
+    if policy.model == "proto":
+        return tables.spec.critic.score()
+    if policy.loss_on == "pulled":
+        return tables.spec.deep.score() if policy.model == "deep" else policy.linear_model(tables.spec).score()
+    return F.col("best_score")
 
 
 def pulls(tables: ReplayTables, policy: Policy, size: int = M.BATCH_ROWS, epochs: int = 1, seed=SEED) -> DataFrame:
@@ -129,7 +164,7 @@ def reward_rows(
     """One row per epoch, batch, user and explored offer, with all its metrics."""
     exposed = M.exposures(pulls(tables, policy, size, epochs, seed), ("epoch", "batch"))
     return M.with_rewards(
-        exposed, decide(tables, policy), tables.offers, I.reward_net(), "batch", prediction(policy)
+        exposed, decide(tables, policy), tables.offers, tables.spec.reward, "batch", prediction(tables, policy)
     )
 
 

@@ -5,7 +5,7 @@ large. A round reads its own partition of the exposures and returns one row of
 sums; the driver holds nothing but the model.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,6 @@ from armlight.operators import policies as P
 from armlight.operators import training as T
 from armlight.plans.replay import SEED, Policy, ReplayTables, pulls
 from armlight.session import shuffle_width
-from armlight.sources import interactions as I
 from armlight.sources.files import stage
 
 
@@ -53,14 +52,14 @@ def linear_round(exposed: DataFrame, tables: ReplayTables, model, compat: bool =
     best score and the gradient the features of the best offer, also where
     another offer was pulled and rewarded.
     """
-    users = P.greedy_linear(tables.users, tables.offers, model, I.OFFER_FEATURES)
+    users = P.greedy_linear(tables.users, tables.offers, model, tables.spec.offer_features)
     pred = None if compat else model.score()
-    rows = M.with_rewards(exposed, users, tables.offers, I.reward_net(), "user_key", pred)
+    rows = M.with_rewards(exposed, users, tables.offers, tables.spec.reward, "user_key", pred)
     if compat:
-        best = P.best_linear_offer(tables.offers, model, I.OFFER_FEATURES, I.OFFER_FEATURES)
-        features = best.select(F.struct(*I.OFFER_FEATURES).alias("best"))
+        best = P.best_linear_offer(tables.offers, model, tables.spec.offer_features, tables.spec.offer_features)
+        features = best.select(F.struct(*tables.spec.offer_features).alias("best"))
         rows = rows.withColumn("_best", features.scalar())
-        rows = rows.withColumns({f: F.col(f"_best.{f}") for f in I.OFFER_FEATURES})
+        rows = rows.withColumns({f: F.col(f"_best.{f}") for f in tables.spec.offer_features})
     sums = T.with_prediction(rows, model).agg(*_metric_sums(), *T.gradient_sums(model)).first().asDict()
     n = sums["n_events"]
     if not n:
@@ -121,8 +120,8 @@ def rebuild_net(net: DenseNet, flat: np.ndarray) -> DenseNet:
 
 def net_round(exposed: DataFrame, tables: ReplayTables, net: DenseNet, rate=T.LEARNING_RATE):
     """One round of a net policy; the model has as many weights as the net."""
-    users = stage(P.greedy_net(tables.users, tables.offers, net, I.OFFER_FEATURES), "choices")
-    rows = M.with_rewards(exposed, users, tables.offers, I.reward_net(), "user_key", net.score())
+    users = stage(P.greedy_net(tables.users, tables.offers, net, tables.spec.offer_features), "choices")
+    rows = M.with_rewards(exposed, users, tables.offers, tables.spec.reward, "user_key", net.score())
     rows = stage(rows.select(*net.features, "r", "n", "loss", "regret"), "round")
     sums = rows.agg(*_metric_sums()).first().asDict()
     flat = flatten_net(net)
@@ -147,7 +146,7 @@ def policy_rounds(
     exploring = policy.epsilon > 0
     exposed = staged_exposures(tables, policy, size, epochs if exploring else 1, seed)
     deep = policy.model == "deep"
-    model = I.deep_policy_net() if deep else policy.linear_model
+    model = tables.spec.deep if deep else policy.linear_model(tables.spec)
     log = []
     for epoch in range(epochs):
         for batch in range(rounds):
@@ -189,7 +188,7 @@ def thompson_rounds(
     size = round_size(tables, rounds)
     exposed = staged_exposures(tables, Policy("logit"), size, 1, seed)
     spark = exposed.sparkSession
-    base = I.policy_model("logit")
+    base = replace(tables.spec.linear, link="logit")
     names = ["intercept"] + base.features
     m = dict.fromkeys(names, 0.0)
     q = dict.fromkeys(names, float(start_precision))
@@ -201,9 +200,9 @@ def thompson_rounds(
     for batch in range(rounds):
         prior = weights_table(spark, [(f, m[f], m[f], q[f]) for f in names], ("w", "m", "q"))
         drawn = P.model_from_table(P.thompson_weights(prior, f"{seed}r{batch}", std), base)
-        users = P.greedy_linear(tables.users, tables.offers, drawn, I.OFFER_FEATURES)
+        users = P.greedy_linear(tables.users, tables.offers, drawn, tables.spec.offer_features)
         part = exposed.where((F.col("epoch") == 0) & (F.col("batch") == batch))
-        rows = M.with_rewards(part, users, tables.offers, I.reward_net(), "user_key")
+        rows = M.with_rewards(part, users, tables.offers, tables.spec.reward, "user_key")
         # users with equal features and reward count as one weighted row
         rows = rows.groupBy(*base.features, "r").agg(
             F.sum("n").alias("n"),

@@ -53,15 +53,13 @@ def sample_by_hash(df: DataFrame, key, fraction: float, seed: int) -> DataFrame:
     return df.where(uniform(seed, key) < F.lit(float(fraction)))
 
 
-def stage(df: DataFrame, label: str, partition_by=None, sort_by=None) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by=None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives Catalyst exact
     file sizes for choosing joins.
     """
     path = fresh_path(df.sparkSession, label)
-    if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from armlight.operators import metrics as M
 from armlight.operators.numbering import in_batches
-from armlight.plans.replay import Policy, ReplayTables, decide, prediction
+from armlight.operators.policies import explore
+from armlight.plans.replay import SEED, Policy, ReplayTables, decide, prediction
 from armlight.plans.rounds import linear_round
 from armlight.session import fresh_path
-from armlight.sources import interactions as I
 from armlight.sources.stores import load_model, save_model
 
 EVENT_SCHEMA = "seq bigint, user_key bigint"
@@ -44,7 +44,7 @@ def _run(stream, handle, label) -> None:
 
 
 def stream_batch_metrics(
-    events: DataFrame, tables: ReplayTables, policy: Policy, size: int = M.BATCH_ROWS
+    events: DataFrame, tables: ReplayTables, policy: Policy, size: int = M.BATCH_ROWS, seed=SEED
 ) -> DataFrame:
     """Metrics per complete batch from a stream; equal to the batch query.
 
@@ -57,11 +57,13 @@ def stream_batch_metrics(
     users = decide(tables, policy)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        pulled = batch.select(
-            "user_key", in_batches("seq", size).alias("batch"), F.lit(None).cast("bigint").alias("explored")
-        )
+        pulled = batch.select("seq", "user_key", in_batches("seq", size).alias("batch"), F.lit(0).alias("epoch"))
+        if policy.epsilon > 0:
+            pulled = explore(pulled, tables.offers, policy.epsilon, seed, ("epoch", "seq"))
+        else:
+            pulled = pulled.withColumn("explored", F.lit(None).cast("bigint"))
         rows = M.with_rewards(
-            M.exposures(pulled), users, tables.offers, I.reward_net(), "batch", prediction(policy)
+            M.exposures(pulled), users, tables.offers, tables.spec.reward, "batch", prediction(tables, policy)
         )
         M.batch_sums(rows).write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
 

@@ -141,3 +141,31 @@ def test_thompson_rounds_gain_precision(replay):
     for (_, _, _, before), (_, _, _, after) in zip(log, log[1:]):
         assert all(after[f] >= before[f] for f in before)
     assert log[-1][3]["intercept"] > 1.0
+
+
+def test_other_columns_and_a_wide_reward_net(spark, skewed_facts):
+    import numpy as np
+
+    from armlight.functions.models import LinearModel
+    from tests.test_models_and_pairing import random_net
+
+    names = {f: f"col {f}[0]" for f in I.FEATURES}
+    facts = skewed_facts.withColumnsRenamed(names).withColumnsRenamed({"user_id": "uid", "event_id": "at"})
+    features = [names[f] for f in I.FEATURES]
+    net = random_net(features, [6, 40, 8, 1])
+    spec = R.ReplaySpec(
+        user_id="uid", position="at",
+        user_features=tuple(names[f] for f in I.USER_FEATURES),
+        offer_features=tuple(names[f] for f in I.OFFER_FEATURES),
+        reward=net,
+        linear=LinearModel({names[f]: w for f, w in I.POLICY_WEIGHTS.items()}, I.POLICY_INTERCEPT),
+    )
+    tables = R.build_tables(facts, spec)
+    rows = {r.batch: r for r in R.policy_metrics(tables, R.Policy("logit"), size=100).collect()}
+    users, offers, events = brute.tables(skewed_facts.toPandas())
+    o, u = offers[I.OFFER_FEATURES].to_numpy(), users[I.USER_FEATURES].to_numpy()
+    best = int((o @ np.array([I.POLICY_WEIGHTS[f] for f in I.OFFER_FEATURES])).argmax())
+    values = np.array([[brute.net(net.layers, np.r_[a, b])[0] for a in o] for b in u])
+    per_event = (values.max(axis=1) - values[:, best])[events["user_key"].to_numpy()]
+    for k in range(6):
+        assert rows[k].regret == pytest.approx(per_event[k * 100 : (k + 1) * 100].sum(), abs=1e-9)

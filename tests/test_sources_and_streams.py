@@ -59,8 +59,9 @@ def test_model_versions(spark):
     assert load_model(spark, path, model, 0) == model
 
 
-def test_stream_metrics_equal_batch_metrics(spark, replay):
-    policy = R.Policy("logit")
+@pytest.mark.parametrize("epsilon", [0.0, 0.3])
+def test_stream_metrics_equal_batch_metrics(spark, replay, epsilon):
+    policy = R.Policy("logit", epsilon)
     events = RS.read_events(spark, RS.write_event_files(replay, chunks=4), files_per_trigger=3)
     got = {r.batch: r for r in RS.stream_batch_metrics(events, replay, policy).collect()}
     want = {r.batch: r for r in R.policy_metrics(replay, policy).collect()}
