@@ -235,8 +235,11 @@ def compare_lift_sql(source: str, bins: int = 20) -> str:
     )
 
 
-def rounds_sql(link: str, rounds: int = 4, epochs: int = 4, epsilon: float = 0.0, compat: bool = False) -> str:
-    """Online rounds as a chain: events of a batch, scores with the weights so far, the next weights."""
+def rounds_sql(link: str, rounds: int = 4, epochs: int = 4, epsilon: float = 0.0, compat: bool = False, versions: bool = False) -> str:
+    """Online rounds as a chain: events of a batch, scores with the weights so far, the next weights.
+
+    Gives the metrics per round, or with ``versions`` the weights before and after every round.
+    """
     names = ["intercept", *I.POLICY_WEIGHTS]
     first = {"intercept": I.POLICY_INTERCEPT, **I.POLICY_WEIGHTS}
     ctes = [
@@ -289,6 +292,10 @@ def rounds_sql(link: str, rounds: int = 4, epochs: int = 4, epsilon: float = 0.0
  {', '.join(rnd(f'w_{f}', 6, f'w_{f}') for f in names)} from m{s + 1}"""
             )
             step += 1
+    if versions:
+        outputs = [
+            f"select {k} as version, '{f}' as feature, {rnd(f'w_{f}', 8, 'w')} from m{k}" for k in range(step + 1) for f in names
+        ]
     return dims(" union all ".join(outputs), *ctes)
 
 
@@ -541,6 +548,7 @@ def oracle_sql() -> dict:
         ),
         "feature_set_eval": compare_lift_sql(_SIDE),
         "stream_batch_metrics": metrics_sql("logit"),
+        "stream_policy_update": rounds_sql("logit", epochs=1, versions=True),
         "policy_metrics": metrics_sql("logit"),
         "policy_metrics_logit_egreedy": metrics_sql("logit", 0.1),
         "policy_metrics_egreedy_pulled_loss": metrics_sql("logit", 0.1, pulled=True),
