@@ -299,6 +299,58 @@ def rounds_sql(link: str, rounds: int = 4, epochs: int = 4, epsilon: float = 0.0
     return dims(" union all ".join(outputs), *ctes)
 
 
+def deep_rounds_sql(rounds: int = 2) -> str:
+    """Online rounds of the net policy: forward pass, gradients by the chain rule, sign steps."""
+    (w1, b1), (w2, b2), (w3, b3) = I.DEEP_POLICY_LAYERS
+    start = {f"a{k}_{i}": v for k, row in enumerate(w1) for i, v in enumerate(row)}
+    start |= {f"ab{k}": v for k, v in enumerate(b1)}
+    start |= {f"b{j}_{k}": v for j, row in enumerate(w2) for k, v in enumerate(row)}
+    start |= {f"bb{j}": v for j, v in enumerate(b2)}
+    start |= {f"c{j}": v for j, v in enumerate(w3[0])} | {"cb": b3[0]}
+    units, outs = range(len(b1)), range(len(b2))
+    first = ", ".join(
+        "(" + " + ".join(f"m.a{k}_{i}*x.{f}" for i, f in enumerate(I.FEATURES)) + f" + m.ab{k}) as y{k}" for k in units
+    )
+    second = ", ".join(
+        "(" + " + ".join(f"m.b{j}_{k}*greatest(y{k}, 0e0)" for k in units) + f" + m.bb{j}) as z{j}" for j in outs
+    )
+    score = sigmoid_sql("(" + " + ".join(f"m.c{j}*greatest(z{j}, 0e0)" for j in outs) + " + m.cb)")
+    # derivative of the squared error at the output and before each ReLU
+    d = "(2e0*(pred - r)*pred*(1e0-pred))"
+    d2 = [f"({d}*m.c{j}*(z{j} > 0)::int)" for j in outs]
+    d1 = ["((" + " + ".join(f"{d2[j]}*m.b{j}_{k}" for j in outs) + f")*(y{k} > 0)::int)" for k in units]
+    grads = {f"a{k}_{i}": f"{d1[k]}*{f}" for k in units for i, f in enumerate(I.FEATURES)}
+    grads |= {f"ab{k}": d1[k] for k in units}
+    grads |= {f"b{j}_{k}": f"{d2[j]}*greatest(y{k}, 0e0)" for j in outs for k in units}
+    grads |= {f"bb{j}": d2[j] for j in outs} | {f"c{j}": f"{d}*greatest(z{j}, 0e0)" for j in outs} | {"cb": d}
+    ctes = [
+        _PAIRS,
+        f"sized as (select (count(*) + {rounds - 1})//{rounds} as size from replay)",
+        "m0 as (select " + ", ".join(f"{_number(v)} as {n}" for n, v in start.items()) + ")",
+    ]
+    outputs = []
+    for s in range(rounds):
+        ctes += [
+            f"y{s} as (select x.*, {first} from pairs x, m{s} m)",
+            f"z{s} as (select x.*, {second} from y{s} x, m{s} m)",
+            f"p{s} as (select x.*, {score} as pred from z{s} x, m{s} m)",
+            f"""b{s} as materialized (select * from (select *,
+ row_number() over (partition by user_key order by pred desc, offer_key) as rk from p{s}) where rk = 1)""",
+            f"""e{s} as materialized (select b.*, cast(b.reward_prob >= 0.5e0 as int)::double as r, o.optimum
+ from replay q join b{s} b on b.user_key = q.user_key join optima o on o.user_key = q.user_key, sized
+ where (q.seq - 1)//size = {s})""",
+            f"g{s} as materialized (select " + ", ".join(f"avg({g}) as g_{n}" for n, g in grads.items()) + f" from e{s} x, m{s} m)",
+            f"m{s + 1} as materialized (select "
+            + ", ".join(f"{n} - 1e-4*(g_{n} + 1e-5*{n})/(abs(g_{n} + 1e-5*{n}) + 1e-8) as {n}" for n in start)
+            + f" from m{s}, g{s})",
+        ]
+        outputs.append(
+            f"""select 0 as epoch, {s} as batch, count(*) as n_events, {rnd('sum(r)', 6, 'reward')},
+ {rnd('sum(abs(r - pred))', 6, 'loss')}, {rnd('sum(greatest(optimum - reward_prob, 0e0))', 6, 'regret')} from e{s}"""
+        )
+    return dims(" union all ".join(outputs), *ctes)
+
+
 def thompson_rounds_sql(rounds: int = 3, steps: int = 4, seed: int = 7) -> str:
     """Thompson rounds as a chain of weights, like ``rounds_sql``."""
     names = ["intercept", *I.POLICY_WEIGHTS]
@@ -537,6 +589,7 @@ def oracle_sql() -> dict:
         "policy_rounds_linear": rounds_sql("linear", epochs=1),
         "policy_rounds_egreedy": rounds_sql("logit", epochs=1, epsilon=0.1),
         "policy_rounds_egreedy_compat": rounds_sql("logit", epochs=1, epsilon=0.1, compat=True),
+        "policy_rounds_deep": deep_rounds_sql(),
         "thompson_rounds": thompson_rounds_sql(),
         "train_holdout_split": facts(f"select event_id, {_SPLIT} as split from inter"),
         "shuffled_batches": facts(

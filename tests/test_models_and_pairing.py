@@ -78,7 +78,8 @@ def test_wide_net_uses_tiles_and_equals_all_pairs(spark, replay):
     best = PR.best_pair_value(replay.users, replay.offers, ["user_key"], net, I.OFFER_FEATURES, "v")
     got = {r.user_key: r.v for r in best.collect()}
     assert all(got[k] == pytest.approx(table[k].max(), abs=1e-12) for k in range(len(table)))
-    scored = replay.users.limit(1).crossJoin(replay.offers.limit(1)).select(net.score().alias("s"), *I.FEATURES).first()
+    pair = PR.pair_all(replay.users.limit(1), replay.offers.limit(1), "user_key")
+    scored = pair.select(net.score().alias("s"), *I.FEATURES).first()
     assert scored.s == pytest.approx(brute.net(net.layers, np.array([scored[f] for f in I.FEATURES]))[0], abs=1e-12)
 
 

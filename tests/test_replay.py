@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from armlight.operators import metrics as M
+from armlight.operators import pairing as PR
 from armlight.operators import policies as P
 from armlight.plans import replay as R
 from armlight.plans import rounds as O
@@ -106,7 +107,8 @@ def test_net_gradient_by_differences(spark, replay):
     import numpy as np
 
     net = I.deep_policy_net()
-    rows = replay.users.limit(6).crossJoin(replay.offers.limit(3)).select(
+    pairs = PR.pair_all(replay.users.limit(6), replay.offers.limit(3), "user_key")
+    rows = pairs.select(
         *I.FEATURES, F.expr("double(user_key % 2)").alias("r"), F.expr("1 + offer_key").alias("n")
     ).persist()
     pdf = rows.toPandas()
