@@ -17,7 +17,8 @@ def number_rows(
     value shared by many rows is split by the later sort columns. The slot of a
     row inside its partition is fixed by writing the table once. The driver reads
     only the partition sizes, one number per partition; the returned frame is a
-    scan with an addition. Sort columns named in ``drop`` are not written.
+    scan with an addition. The input is read twice, for the range bounds and for
+    the sort, so it should be narrow. Sort columns named in ``drop`` are not written.
     """
     laid_out = (
         df.repartitionByRange(*order_by)

@@ -326,7 +326,9 @@ def event_sequence(spark, sf):
 
 
 def _scored(spark, sf):
-    return I.interactions(spark, sf).select("event_id", F.round(I.policy_model().score(), 9).alias("prob"), "target")
+    """Scored rows, written once: ranking reads its input twice."""
+    prob = F.round(I.policy_model().score(), 9).alias("prob")
+    return S.stage(I.interactions(spark, sf).select("event_id", prob, "target"), "scored")
 
 
 def lift_bins(spark, sf):

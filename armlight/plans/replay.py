@@ -89,7 +89,8 @@ def build_tables(facts: DataFrame, spec: ReplaySpec = ReplaySpec()) -> ReplayTab
         user_dimension(facts, spec), offers, ["user_key", *spec.user_columns], spec.reward, spec.offer_features, "optimum"
     )
     users = stage(users, "users")
-    keyed = with_keys(facts, users, offers, spec).select(spec.position, "user_key", "offer_key")
+    # the range sort reads its input twice, so it gets the narrow keys and not the wide facts
+    keyed = stage(with_keys(facts, users, offers, spec).select(spec.position, "user_key", "offer_key"), "keyed")
     return ReplayTables(users, offers, in_replay_order(keyed, spec.position), spec)
 
 
