@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from armlight.functions.vectors import sigmoid
+
 # nets with more weights than this are scored in Arrow batches with numpy
 COLUMN_NET_WEIGHTS = 400
 
@@ -55,16 +57,12 @@ class LinearModel:
         return F.expr(weighted_sum([self.weights[c] for c in used], _quoted(used), bias))
 
     def activate(self, z: Column) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) if self.link == "logit" else z
+        return sigmoid(z) if self.link == "logit" else z
 
     def score(self) -> Column:
         z = weighted_sum(self.weights.values(), _quoted(self.weights), self.intercept)
         return F.expr(_sigmoid(z) if self.link == "logit" else z)
 
-    def slope(self, p: Column) -> Column:
-        """Derivative of the activation, written with its value."""
-        return p * (F.lit(1.0) - p) if self.link == "logit" else F.lit(1.0)
-
     def with_values(self, weights: dict, intercept: float) -> "LinearModel":
         return replace(self, weights=dict(weights), intercept=float(intercept))
 

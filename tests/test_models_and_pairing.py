@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from armlight.functions.models import DenseNet, LinearModel, layer_widths, reward
-from armlight.functions.vectors import assemble, context, dot, insert_front, with_intercept
+from armlight.functions.vectors import assemble, context, dot, insert_front, relu, sigmoid, with_intercept
 from armlight.operators import pairing as PR
 from armlight.sources import interactions as I
 from tests import brute
@@ -117,6 +117,13 @@ def test_rank_prefers_lowest_key_and_ignores_nan(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_activations(spark):
+    row = spark.createDataFrame([(-2.0,), (0.0,), (3.0,)], "z double").select(relu(F.col("z")).alias("r"), sigmoid(F.col("z")).alias("s"))
+    got = row.collect()
+    assert [r.r for r in got] == [0.0, 0.0, 3.0]
+    assert [r.s for r in got] == pytest.approx([1 / (1 + np.exp(-z)) for z in (-2.0, 0.0, 3.0)])
+
+
 def test_linear_model_parts_add_up(spark):
     model = LinearModel({"a": 2.0, "b": -1.0}, 0.5, "linear")
     row = spark.createDataFrame([(3.0, 4.0)], "a double, b double")
