@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import tokens
+from armlight.llm import exact_dedup, line_dedup, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -27,5 +27,52 @@ def op1_bpe(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe,)}
-SQL: dict[str, str] = {}
+def op3_exact_dedup(spark, sf):
+    return exact_dedup.exact_groups(documents(spark, sf)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def op8_line_dedup(spark, sf):
+    return line_dedup.drop_repeated_lines(documents(spark, sf)).select(
+        "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op8_line_dedup)}
+
+SQL = {
+    "op3_exact_dedup": """
+with d as (
+  select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[ \\t-\\r]', '', 'g') as plain
+  from documents)
+select doc_id, first_value(doc_id) over g as keep_id, count(*) over (partition by plain) as group_size,
+       doc_id = first_value(doc_id) over g as kept, sha256(plain) as text_sha256
+from d window g as (partition by plain order by n desc, doc_id)
+""",
+    "op8_line_dedup": """
+with l as (
+  select doc_id, text, string_split(text, chr(10)) as lines from documents),
+w as (
+  select doc_id, unnest(range(0, greatest(len(lines) - 2, 0))) as pos, lines from l),
+k as (
+  select doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] as body from w),
+r as (
+  select doc_id, pos, row_number() over (partition by body order by doc_id, pos) as nth from k
+  where trim(translate(body, chr(10) || chr(9) || chr(13), '   ')) <> ''),
+c as (
+  select distinct doc_id, pos + t as line from r, (values (0), (1), (2)) as v(t) where nth > 1),
+e as (
+  select doc_id, unnest(range(0, len(lines))) as line, unnest(lines) as body from l),
+m as (
+  select e.doc_id, e.line, e.body, c.line is not null as gone,
+         lag(c.line is not null, 1, false) over (partition by e.doc_id order by e.line) as gone_before
+  from e left join c on e.doc_id = c.doc_id and e.line = c.line)
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed,
+       cast(sum((gone and not gone_before)::int) as bigint) as n_spans,
+       sha256(coalesce(string_agg(body, chr(10) order by line) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+union all
+select doc_id, 0, 0, 0, null from documents where text is null
+""",
+}
