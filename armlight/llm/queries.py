@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, line_dedup, tokens
+from armlight.llm import exact_dedup, line_dedup, secret_scan, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -27,6 +27,15 @@ def op1_bpe(spark, sf):
     )
 
 
+def op2_secret_scan(spark, sf):
+    found = secret_scan.scan(documents(spark, sf).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secret_scan.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(documents(spark, sf)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -39,7 +48,7 @@ def op8_line_dedup(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op8_line_dedup)}
 
 SQL = {
     "op3_exact_dedup": """
