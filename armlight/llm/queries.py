@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, line_dedup, secret_scan, tokens
+from armlight.llm import exact_dedup, fingerprints, line_dedup, secret_scan, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -48,7 +48,18 @@ def op8_line_dedup(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op8_line_dedup)}
+def op9_order_minhash(spark, sf):
+    f = fingerprints
+    pairs = f.edited_pairs(documents(spark, sf))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        f.as_text(F.col("own")).alias("fingerprint"), f.as_text(F.col("edited_own")).alias("edited_fingerprint"),
+        f.likeness(F.col("own"), F.col("edited_own")).alias("near_edited"),
+        f.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op8_line_dedup, op9_order_minhash)}
 
 SQL = {
     "op3_exact_dedup": """
