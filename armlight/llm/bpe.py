@@ -15,6 +15,7 @@ its id. Ids are the same for a text wherever and however often it occurs.
 
 import json
 import unicodedata
+from array import array
 
 import regex
 
@@ -85,7 +86,7 @@ class Encoder:
     ``cache_limit`` bounds the words and chunks remembered in a Python worker; results don't depend on it.
     """
 
-    def __init__(self, path: str, cache_limit: int = 250_000):
+    def __init__(self, path: str, cache_limit: int = 200_000):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         vocab = data["model"]["vocab"]
@@ -95,29 +96,31 @@ class Encoder:
         self.labels = [""] * (max(max(vocab.values()), *self.special.values(), 0) + 1)
         for text, i in (vocab | self.special).items():
             self.labels[i] = text
+        # tokens that no string contains have no arc
+        ends = {i: t.removesuffix(WORD_END) for t, i in vocab.items()}
+        vocab = {t: i for t, i in vocab.items() if len(ends[i]) == 1 or self.automaton.parts[i] is not None}
         # text of symbols -> token that it spells, or -1 where it only begins one
         self.arcs = dict(vocab)
         for text in vocab:
             symbols = text.removesuffix(WORD_END) if text != WORD_END else text
             for end in range(1, len(symbols) + 1):
                 self.arcs.setdefault(symbols[:end], -1)
+        # the same without the word end, for tokens that end a word
+        self.final = {t.removesuffix(WORD_END): i for t, i in vocab.items() if t.endswith(WORD_END) and t != WORD_END}
         self.symbols = byte_symbols()
         self.cache_limit = cache_limit
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def _arcs_from(self, word, start, end):
-        """Tokens that spell the next symbols, the longest last, with the position each leads to."""
+        """Tokens that spell the next symbols but not the last one, the longest last, with the position each leads to."""
         arcs, found = self.arcs, []
         for stop in range(start + 1, end):
             token = arcs.get(word[start:stop])
             if token is None:
-                return found
+                break
             if token >= 0:
                 found.append((stop, token))
-        token = arcs.get(word[start:] + WORD_END)
-        if token is not None:
-            found.append((end, token))
         return found
 
     def word_ids(self, word: str) -> bytes:
@@ -126,7 +129,10 @@ class Encoder:
         Transitions are tried from the longest on. A position has one state however it is reached, so each is
         entered once and the walk is linear in the word.
         """
-        end, has_arc = len(word), self.automaton.has_arc
+        end, final, known, has_arc = len(word), self.final, self.automaton.known, self.automaton.has_arc
+        token = final.get(word)
+        if token is not None:
+            return token.to_bytes(2, "little")
         open_arcs, path, entered = [self._arcs_from(word, 0, end)], [], set()
         while True:
             if not open_arcs[-1]:
@@ -134,11 +140,15 @@ class Encoder:
                 path.pop()
                 continue
             stop, token = open_arcs[-1].pop()
-            if stop in entered or path and not has_arc(path[-1], token):
+            if stop in entered:
+                continue
+            if path and not known.get(path[-1] << 20 | token) and not has_arc(path[-1], token):
                 continue
             path.append(token)
-            if stop == end:
-                return b"".join([token.to_bytes(2, "little") for token in path])
+            last = final.get(word[stop:])
+            if last is not None and has_arc(token, last):
+                path.append(last)
+                return array("H", path).tobytes()
             entered.add(stop)
             open_arcs.append(self._arcs_from(word, stop, end))
 

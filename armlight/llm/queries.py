@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, fingerprints, line_dedup, secret_scan, tokens
+from armlight.llm import exact_dedup, fingerprints, line_dedup, packing, secret_scan, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -42,6 +42,10 @@ def op3_exact_dedup(spark, sf):
     )
 
 
+def op4_packing(spark, sf):
+    return packing.pack(documents(spark, sf), vocabulary_path()).drop("ids")
+
+
 def op8_line_dedup(spark, sf):
     return line_dedup.drop_repeated_lines(documents(spark, sf)).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
@@ -59,7 +63,7 @@ def op9_order_minhash(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op8_line_dedup, op9_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op8_line_dedup, op9_order_minhash)}
 
 SQL = {
     "op3_exact_dedup": """
