@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, fingerprints, line_dedup, packing, secret_scan, tokens
+from armlight.llm import exact_dedup, fingerprints, line_dedup, packing, quality, secret_scan, tokens, toxicity
+from armlight.llm.training_rows import fold
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -46,6 +47,23 @@ def op4_packing(spark, sf):
     return packing.pack(documents(spark, sf), vocabulary_path()).drop("ids")
 
 
+def _scored(classifier, spark, sf):
+    docs = documents(spark, sf)
+    model = classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return classifier.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold("doc_id", classifier.FOLDS) == classifier.HELD_OUT).alias("held_out"),
+        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op6_quality(spark, sf):
+    return _scored(quality, spark, sf)
+
+
+def op10_toxicity(spark, sf):
+    return _scored(toxicity, spark, sf)
+
+
 def op8_line_dedup(spark, sf):
     return line_dedup.drop_repeated_lines(documents(spark, sf)).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
@@ -63,7 +81,7 @@ def op9_order_minhash(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op8_line_dedup, op9_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op6_quality, op8_line_dedup, op9_order_minhash, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """
