@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, fingerprints, line_dedup, packing, quality, secret_scan, tokens, toxicity
+from armlight.llm import exact_dedup, fingerprints, jaccard, line_dedup, packing, quality, secret_scan, tokens, toxicity
 from armlight.llm.training_rows import fold
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,6 +64,14 @@ def op10_toxicity(spark, sf):
     return _scored(toxicity, spark, sf)
 
 
+def op7_jaccard_join(spark, sf):
+    docs = documents(spark, sf)
+    found = jaccard.components(docs).withColumnRenamed("id", "doc_id")
+    return jaccard.shingle_counts(docs).join(found, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
+    )
+
+
 def op8_line_dedup(spark, sf):
     return line_dedup.drop_repeated_lines(documents(spark, sf)).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
@@ -81,7 +89,7 @@ def op9_order_minhash(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op6_quality, op8_line_dedup, op9_order_minhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op6_quality, op7_jaccard_join, op8_line_dedup, op9_order_minhash, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """
