@@ -77,21 +77,27 @@ class LinearScore:
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, batch: int = 512):
     """A :class:`LinearScore`; without positives or unlabelled rows it scores every text with the prior."""
     prior = min(max(prior, 0.01), 0.99)
-    both = np.concatenate([positive, unlabelled])
-    mean = both.mean(0) if len(both) else np.zeros(WIDTH, np.float32)
-    scale = both.std(0) + 1e-3 if len(both) else np.ones(WIDTH, np.float32)
+    n = len(positive) + len(unlabelled)
+    mean, scale = np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32)
+    if n:
+        mean = ((positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n).astype(np.float32)
+        spread = sum(((x[i : i + 512] - mean) ** 2).sum(0, dtype=np.float64) for x in (positive, unlabelled) for i in range(0, len(x), 512))
+        scale = (np.sqrt(spread / n) + 1e-3).astype(np.float32)
+
+    def standard(x):
+        return np.clip(np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)]), -8, 8)
+
     weights = np.zeros(WIDTH + 1)
     weights[-1] = np.log(prior / (1 - prior))
     if len(positive) and len(unlabelled):
-        p, u = ((x - mean) / scale for x in (positive, unlabelled))
-        p, u = (np.clip(np.hstack([x, np.ones((len(x), 1), x.dtype)]), -8, 8) for x in (p, u))
         rng, m, v, step = np.random.default_rng(7), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), 0
-        batches = max(1, len(u) // batch)
+        batches = max(1, len(unlabelled) // batch)
         for _ in range(epochs):
-            p_parts, u_parts = (np.array_split(x[rng.permutation(len(x))], batches) for x in (p, u))
-            for bp, bu in zip(p_parts, u_parts, strict=True):
-                if not len(bp) or not len(bu):
+            p_parts, u_parts = (np.array_split(rng.permutation(len(x)), batches) for x in (positive, unlabelled))
+            for rows_p, rows_u in zip(p_parts, u_parts, strict=True):
+                if not len(rows_p) or not len(rows_u):
                     continue
+                bp, bu = standard(positive[rows_p]), standard(unlabelled[rows_u])
                 fp, fu = (1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) for x in (bp, bu))
                 # d loss(f) = s - 1 and d loss(-f) = s for the logistic loss
                 good = prior * (bp.T @ (fp - 1)) / len(bp)
@@ -116,7 +122,7 @@ def _features_of(docs: DataFrame, kept: str) -> np.ndarray:
     schema = T.StructType([docs.schema[kept], T.StructField("f", T.BinaryType())])
     rows = docs.mapInArrow(run, schema).collect()
     cells = np.frombuffer(b"".join(bytes(r["f"]) for r in rows), np.float16).reshape(-1, WIDTH)
-    return cells.astype(np.float32), np.array([r[kept] for r in rows])
+    return cells, np.array([r[kept] for r in rows])
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> LinearScore:
