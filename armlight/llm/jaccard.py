@@ -30,8 +30,8 @@ from armlight.sources.files import stage
 WORDS = 5
 # fixed: two documents link when 100 * shared >= 80 * union
 SHARE, WHOLE = 80, 100
-GROUPS = 64
-CELL, LEAF = 1_500, 32
+GROUPS = 256
+CELL, LEAF = 1_500, 64
 SLICE = 2 << 20
 _STORED = 5  # bytes of a hash that are kept for verification
 
@@ -107,7 +107,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """(id, size, point, shingles): counts per group as 16-bit numbers (at most 65535), hashes of ``_STORED`` bytes."""
+    """(id, size, point, shingles): counts per group as bytes, 255 standing for any more, hashes of ``_STORED`` bytes."""
 
     def run(batches):
         for part in slices(batches, "text", SLICE):
@@ -115,7 +115,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
             n = len(part)
             size = np.bincount(owner, minlength=n)
             cell = owner * GROUPS + (found % np.uint64(GROUPS)).astype(np.int64)
-            point = np.minimum(np.bincount(cell, minlength=n * GROUPS), 65535).astype("<u2").reshape(n, GROUPS)
+            point = np.minimum(np.bincount(cell, minlength=n * GROUPS), 255).astype(np.uint8).reshape(n, GROUPS)
             packed = (found >> np.uint64(64 - 8 * _STORED)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_STORED]
             ends = np.cumsum(size)
             sets = [packed[e - s : e].tobytes() for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
@@ -127,8 +127,10 @@ def _set_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, size bigint, point binary, shingles binary")
 
 
-def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), GROUPS).astype(np.int64)
+def _points(cells) -> np.ndarray:
+    points = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, GROUPS)
+    # a count that was cut off bounds nothing
+    return np.where(points == 255, np.uint16(65535), points) if len(points) and points.max() == 255 else points
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -145,9 +147,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             total = batch["size_a"].to_numpy() + batch["size_b"].to_numpy()
-            shared = np.minimum(_points(batch["point_a"]), _points(batch["point_b"])).sum(1)
-            full = (batch["size_a"].to_numpy() > 65535) | (batch["size_b"].to_numpy() > 65535)
-            yield batch.select(["a", "b"]).filter(pa.array((shared >= least_shared(total)) | full))
+            a, b = (_points(batch[c].to_pylist()) for c in ("point_a", "point_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(a, b).sum(1, dtype=np.int64) >= least_shared(total)))
 
     def exact(batches):
         for part in slices(batches, "set_a"):
@@ -194,38 +195,40 @@ class CountTree:
         self.nodes.append((points.max(0), self.sizes[rows].min(), self.sizes[rows].max(), one, below, entries))
         return len(self.nodes) - 1
 
-    def search(self, point, size, label):
-        """Entries of other labels that may link with the given document."""
-        found, open_nodes = [], [self.root]
+    def search(self, points, sizes, labels):
+        """(query, entry) of the pairs of other labels that may link; queries go down the tree together."""
+        queries, entries_met, open_nodes = [], [], [(self.root, np.arange(len(points)))]
         while open_nodes:
-            corner, least, most, one, below, entries = self.nodes[open_nodes.pop()]
-            if one is not None and one == label or WHOLE * most < SHARE * size or SHARE * least > WHOLE * size:
-                continue
-            if np.minimum(corner, point).sum() < least_shared(size + least):
-                continue
+            node, q = open_nodes.pop()
+            corner, least, most, one, below, entries = self.nodes[node]
+            fits = (WHOLE * most >= SHARE * sizes[q]) & (SHARE * least <= WHOLE * sizes[q])
+            if one is not None:
+                fits &= labels[q] != one
+            q = q[fits]
+            q = q[np.minimum(corner, points[q]).sum(1, dtype=np.int64) >= least_shared(sizes[q] + least)]
             if below:
-                open_nodes.extend(below)
+                open_nodes.extend((child, q) for child in below if len(q))
                 continue
-            shared = np.minimum(self.points[entries], point).sum(1)
-            fits = (shared >= least_shared(size + self.sizes[entries])) & (self.labels[entries] != label)
-            found.append(entries[fits])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            for some in np.array_split(q, -(-len(q) // 256)) if len(q) else ():
+                shared = np.minimum(self.points[entries][None], points[some][:, None]).sum(2, dtype=np.int64)
+                close = shared >= least_shared(sizes[some][:, None] + self.sizes[entries][None])
+                at_q, at_e = np.nonzero(close & (labels[some][:, None] != self.labels[entries][None]))
+                queries.append(some[at_q])
+                entries_met.append(entries[at_e])
+        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (queries, entries_met))
 
 
 def _cell_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs of one cell: of its two parts, or within its one part."""
-    points = np.frombuffer(b"".join(rows["point"]), "<u2").reshape(len(rows), GROUPS).astype(np.int64)
+    points = _points(rows["point"])
     sizes, labels, ids, part = (rows[c].to_numpy() for c in ("size", "label", "id", "part"))
-    # counts that are cut off bound nothing
-    points = np.where(sizes[:, None] > 65535, 1 << 40, points)
-    alone = part.min() == part.max()
     inside = np.flatnonzero(part == part.min())
+    asking = inside if part.min() == part.max() else np.flatnonzero(part != part.min())
     tree = CountTree(points[inside], sizes[inside], labels[inside])
-    out = []
-    for q in range(len(rows)) if alone else np.flatnonzero(part != part.min()):
-        met = ids[inside[tree.search(points[q], sizes[q], labels[q])]]
-        out.append(pd.DataFrame({"a": np.minimum(met, ids[q]), "b": np.maximum(met, ids[q])}))
-    return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+    query, entry = tree.search(points[asking], sizes[asking], labels[asking])
+    one, other = ids[asking[query]], ids[inside[entry]]
+    found = pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+    return found.drop_duplicates()
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
