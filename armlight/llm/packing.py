@@ -75,7 +75,7 @@ def curve_keys(ids: np.ndarray, starts: np.ndarray, signs: np.ndarray) -> np.nda
 
 def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, curve, doc_tokens and ids (binary, two bytes each, the end id last) of each document."""
-    encoder = shared_encoder(docs.sparkSession, vocabulary)
+    encoder = shared_encoder(docs.sparkSession, vocabulary, cache_limit=450_000)
 
     def run(batches):
         signs = hashed_signs(1 << 16)

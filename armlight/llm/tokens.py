@@ -13,9 +13,9 @@ from armlight.llm.batches import list_array, slices
 from armlight.llm.bpe import Encoder
 
 
-def shared_encoder(spark, vocabulary: str):
+def shared_encoder(spark, vocabulary: str, **options):
     """A broadcast :class:`Encoder`; ``vocabulary`` is the path of a tokenizer file, read on the driver only."""
-    return spark.sparkContext.broadcast(Encoder(vocabulary))
+    return spark.sparkContext.broadcast(Encoder(vocabulary, **options))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", keep=("doc_id",)) -> DataFrame:
