@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from armlight.llm.batches import slices, utf8
 from armlight.llm.components import smallest_labels
+from armlight.llm.narrowing import keep_repeated, rows_with
 from armlight.llm.terms import mix, word_hashes
 from armlight.sources.files import stage
 
@@ -84,26 +85,8 @@ def _prefix_rows(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(shingle, id) of the shingles that are in the prefix of more than one row: one sorted pass, a row held back."""
-    rows = _prefix_rows(docs).repartition("shingle").sortWithinPartitions("shingle")
-
-    def run(batches):
-        last, same = None, False  # the row held back, and whether the one before it has its shingle
-        for batch in batches:
-            if not len(batch):
-                continue
-            shingle, ids = (batch[c].to_numpy() for c in ("shingle", "id"))
-            if last is not None:
-                shingle, ids = np.append(last[0], shingle), np.append(last[1], ids)
-            equal = shingle[1:] == shingle[:-1]
-            before = np.append(same, equal)
-            keep = before[:-1] | equal
-            last, same = (shingle[-1], ids[-1]), before[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[:-1][keep]), pa.array(ids[:-1][keep])], ["shingle", "id"])
-        if last is not None and same:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], ["shingle", "id"])
-
-    return stage(rows.mapInArrow(run, "shingle bigint, id bigint"), "jaccard-blocks")
+    """(shingle, id) of the shingles that are in the prefix of more than one row."""
+    return stage(keep_repeated(_prefix_rows(docs), "shingle"), "jaccard-blocks")
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
@@ -244,7 +227,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     star = met.join(ends, "shingle").where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
     star = stage(star.distinct(), "jaccard-star")
     wanted = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = stage(_set_rows(rows.join(wanted, "doc_id", "left_semi")), "jaccard-sets")
+    sets = stage(_set_rows(rows_with(rows, stage(wanted, "jaccard-wanted"), "doc_id")), "jaccard-sets")
     links = verified(star, sets)
     labels = smallest_labels(links)
     # blocks that still hold several labels; of blocks with the same members one is enough

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, fingerprints, jaccard, line_dedup, packing, quality, secret_scan, tokens, toxicity
+from armlight.llm import exact_dedup, fingerprints, jaccard, line_dedup, packing, quality, repeats, secret_scan, tokens, toxicity
 from armlight.llm.training_rows import fold
 
 VOCABULARY = "word_bpe_49k.json"
@@ -47,6 +47,12 @@ def op4_packing(spark, sf):
     return packing.pack(documents(spark, sf), vocabulary_path()).drop("ids")
 
 
+def op5_suffix_dedup(spark, sf):
+    return repeats.remove_repeats(documents(spark, sf)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def _scored(classifier, spark, sf):
     docs = documents(spark, sf)
     model = classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -89,7 +95,7 @@ def op9_order_minhash(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op6_quality, op7_jaccard_join, op8_line_dedup, op9_order_minhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality, op7_jaccard_join, op8_line_dedup, op9_order_minhash, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """
