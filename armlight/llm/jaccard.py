@@ -254,10 +254,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with component_id, the smallest id reachable by links, itself included."""
-    found = components(docs, doc_id, text).select(F.col("id").alias("_id"), "label")
+    found = components(docs, doc_id, text)
     rows = docs.drop("component_id")
-    return rows.join(found, F.col(doc_id) == F.col("_id"), "left").select(
-        *rows.columns, F.coalesce("label", doc_id).alias("component_id")
+    return rows.alias("row").join(found.alias("found"), F.col(f"row.{doc_id}") == F.col("found.id"), "left").select(
+        "row.*", F.coalesce("found.label", f"row.{doc_id}").alias("component_id")
     )
 
 
