@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from armlight.llm import exact_dedup, fingerprints, jaccard, line_dedup, packing, quality, repeats, secret_scan, tokens, toxicity
+from armlight.llm import (
+    conversations, exact_dedup, fingerprints, id_files, jaccard, line_dedup, packing, quality, repeats, secret_scan, spelling, tokens, toxicity,
+)
 from armlight.llm.training_rows import fold
+from armlight.session import fresh_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -95,7 +98,23 @@ def op9_order_minhash(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality, op7_jaccard_join, op8_line_dedup, op9_order_minhash, op10_toxicity)}
+def op11_spelling(spark, sf):
+    return spelling.variants(documents(spark, sf))
+
+
+def op12_id_files(spark, sf):
+    path = fresh_path(spark, "id-files")
+    id_files.write_ids(documents(spark, sf), vocabulary_path("byte_bpe_50k.json"), path)
+    read = id_files.read_documents(spark, path).select("doc_id", "shard", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = read.join(id_files.shard_starts(spark, path), "shard")
+    return found.select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op13_conversation_repair(spark, sf):
+    return conversations.with_hashes(*conversations.repair(spark.read.parquet(f"{sf}/conversations.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality, op7_jaccard_join, op8_line_dedup, op9_order_minhash, op10_toxicity, op11_spelling, op12_id_files, op13_conversation_repair)}
 
 SQL = {
     "op3_exact_dedup": """
