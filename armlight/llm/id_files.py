@@ -9,6 +9,8 @@ shard and any store that Spark writes to will do.
 """
 
 import json
+import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from armlight.llm.terms import WHITE
 BLOCK_IDS = 1 << 16
 END_ID = 2
 SLICE = 4 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000  # of each of two generations
 _STEP = 1 << 15  # ids whose bits are spread at once, a multiple of eight
 
 
@@ -57,12 +59,32 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return out
 
 
+def _byte_kinds():
+    kinds = np.zeros(256, np.uint8)
+    kinds[33:127] = _MARK
+    kinds[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+    kinds[48:58] = _DIGIT
+    kinds[WHITE] = _WHITE
+    return kinds
+
+
+_MARK, _LETTER, _DIGIT, _WHITE = 1, 2, 3, 4
+_KINDS = _byte_kinds()
+# whether a piece may start at a byte of the second kind behind one of the first
+_CUTS = np.zeros((5, 5), bool)
+_CUTS[[_MARK, _LETTER, _DIGIT], _WHITE] = True
+_CUTS[_LETTER, [_MARK, _DIGIT]] = True
+_CUTS[_DIGIT, [_MARK, _LETTER]] = True
+
+
 class LibraryEncoder:
     """The tokenizers library over columns of texts, each distinct piece encoded once while it is cached.
 
-    A byte-level tokenizer with its usual pattern never joins a visible character to white space after it, so a text may
-    be cut before each such white space without changing its ids; other tokenizers get whole texts. The file is read on
-    the driver; workers get its content.
+    The usual byte-level pattern matches white space only at the start of a match, letters and digits apart, and a mark
+    before a letter only as a contraction. So a text may be cut before white space that follows a visible character,
+    behind a single line break or tab between such characters, and where letters or digits end, without changing its
+    ids. Tokenizers with another pattern get whole texts; where a special token occurs, only white space cuts. The file
+    is read on the driver; workers get its content.
     """
 
     def __init__(self, vocabulary: str):
@@ -70,22 +92,25 @@ class LibraryEncoder:
             self.content = file.read()
         given = json.loads(self.content)
         split = given.get("pre_tokenizer") or {}
+        added = given.get("added_tokens") or []
+        self.special = [t["content"].encode() for t in added]
         self.by_pieces = (
             given.get("normalizer") is None
             and split.get("type") == "ByteLevel"
             and not split.get("add_prefix_space")
             and split.get("use_regex", True)
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in given["added_tokens"])
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
         )
-        self.tokenizer, self.cache = None, {}
+        self.tokenizer, self.recent, self.older = None, {}, {}
         self.size = self._library().get_vocab_size()
-        self.tokenizer = None
 
     def __getstate__(self):
-        return {**self.__dict__, "tokenizer": None, "cache": {}}
+        return {**self.__dict__, "tokenizer": None, "recent": {}, "older": {}}
 
     def _library(self):
         if self.tokenizer is None:
+            # a task has one core
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.content)
@@ -94,15 +119,37 @@ class LibraryEncoder:
         return self.tokenizer
 
     def _piece_starts(self, content, offsets):
-        """Where pieces start: at each text, and at white space behind a visible ASCII character or a letter U+00C0 to U+00FF."""
-        visible = (content > 32) & (content < 127)
-        latin = np.zeros(len(content), bool)
-        latin[1:] = (content[:-1] == 0xC3) & (content[1:] >= 0x80)
+        kinds = _KINDS[content]
+        # the second byte of U+00C0 to U+00FF ends a letter, but for the signs of times and division
+        kinds[1:][(content[:-1] == 0xC3) & (content[1:] != 0x97) & (content[1:] != 0xB7)] = _LETTER
         starts = np.zeros(len(content), bool)
-        starts[1:] = WHITE[content[1:]] & (visible | latin)[:-1]
+        if any(t in content.tobytes() for t in self.special):
+            starts[1:] = (kinds[1:] == _WHITE) & (kinds[:-1] > 0) & (kinds[:-1] < _WHITE)
+        else:
+            starts[1:] = _CUTS[kinds[:-1], kinds[1:]]
+            visible = (kinds > 0) & (kinds < _WHITE)
+            starts[2:] |= visible[2:] & (kinds[1:-1] == _WHITE) & (content[1:-1] != 32) & visible[:-2]
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         return np.flatnonzero(starts)
 
+    def _encoded(self, pieces):
+        """The ids of each of the distinct ``pieces`` as bytes; pieces met lately are kept, the others drop out."""
+        if len(self.recent) > CACHED_PIECES:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        new = []
+        for piece in pieces:
+            if piece not in recent:
+                if piece in older:
+                    recent[piece] = older[piece]
+                else:
+                    new.append(piece)
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            for piece, encoding in zip(some, self._library().encode_batch_fast(some, add_special_tokens=False)):
+                recent[piece] = array("I", encoding.ids).tobytes()
+        return [recent[p] for p in pieces]
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
         content, offsets = utf8(column)
@@ -112,15 +159,8 @@ class LibraryEncoder:
         bounds = np.append(starts, len(content)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(content))])
         coded = pieces.dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.cache) + len(distinct) > CACHED_PIECES:
-            self.cache = {}
-        new = [p for p in distinct if p not in self.cache]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for piece, encoding in zip(some, self._library().encode_batch_fast(some, add_special_tokens=False)):
-                self.cache[piece] = np.array(encoding.ids, "<u4").tobytes()
-        found = [self.cache[p] for p in distinct]
+        which = coded.indices.to_numpy()
+        found = self._encoded(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         lengths = sizes[which]
