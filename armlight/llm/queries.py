@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from armlight.llm import (
     conversations, exact_dedup, fingerprints, id_files, jaccard, line_dedup, packing, quality, repeats, secret_scan, spelling, tokens, toxicity,
 )
+from armlight.llm.plain_sql import CONVERSATIONS, SPELLING
 from armlight.llm.training_rows import fold
 from armlight.session import fresh_path
 
@@ -117,6 +118,8 @@ def op13_conversation_repair(spark, sf):
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality, op7_jaccard_join, op8_line_dedup, op9_order_minhash, op10_toxicity, op11_spelling, op12_id_files, op13_conversation_repair)}
 
 SQL = {
+    "op11_spelling": SPELLING,
+    "op13_conversation_repair": CONVERSATIONS,
     "op3_exact_dedup": """
 with d as (
   select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[ \\t-\\r]', '', 'g') as plain
