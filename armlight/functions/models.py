@@ -22,13 +22,29 @@ def number(value) -> str:
     return f"{float(value)!r}D"
 
 
+# terms of one expression; generated methods stay small however wide the model is
+TERM_BLOCK = 64
+
+
+def _added(parts) -> str:
+    """The parts added in halves, so the expression is as deep as the logarithm of their number."""
+    while len(parts) > 1:
+        parts = [f"({' + '.join(parts[k : k + 2])})" for k in range(0, len(parts), 2)]
+    return f"({parts[0]})"
+
+
 def weighted_sum(weights, terms, bias=0.0) -> str:
     """SQL text of a weighted sum.
 
-    Scores are built as SQL text: one expression per model instead of one call
-    into the JVM per operation.
+    Scores are built as SQL text: one expression per model instead of one call into the JVM per operation. Terms are
+    summed in blocks of features, and the blocks' sums as the elements of an array, which Spark compiles one by one, so
+    thousands of features will do.
     """
-    return "(" + " + ".join([f"{number(w)} * {t}" for w, t in zip(weights, terms)] + [number(bias)]) + ")"
+    parts = [f"{number(w)} * {t}" for w, t in zip(weights, terms)] + [number(bias)]
+    blocks = [_added(parts[k : k + TERM_BLOCK]) for k in range(0, len(parts), TERM_BLOCK)]
+    if len(blocks) == 1:
+        return blocks[0]
+    return f"aggregate(array({', '.join(blocks)}), 0D, (total, block) -> total + block)"
 
 
 def _quoted(columns):
@@ -193,14 +209,14 @@ def layer_widths(n: int, rule: str = "quarter"):
     return [n, round(n / 4), round(n / 8), 1]
 
 
-def rule_net(widths) -> DenseNet:
+def rule_net(widths, features=None) -> DenseNet:
     """A net of any size with weights from a rule: waves over unit and input."""
     layers = []
     for depth, (n_in, n_out) in enumerate(zip(widths, widths[1:])):
         unit, place = np.arange(n_out)[:, None], np.arange(n_in)[None, :]
         matrix = np.sin(1.0 + 1000.0 * depth + 37.0 * unit + 11.0 * place) / np.sqrt(n_in)
         layers.append((matrix.tolist(), np.cos(np.arange(n_out) + float(depth)).tolist()))
-    return DenseNet(tuple(f"x{i}" for i in range(widths[0])), tuple(layers))
+    return DenseNet(tuple(features or (f"x{i}" for i in range(widths[0]))), tuple(layers))
 
 
 def reward(prob: str, threshold: float = 0.5) -> Column:

@@ -3,8 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlight.functions.hashing import shuffle_key, uniform
+from armlight.functions.hashing import uniform
+from armlight.functions.models import weights_table
+from armlight.functions.vectors import assemble
+from armlight.operators.backprop import linear_sums
 from armlight.operators.numbering import number_rows
+from armlight.operators.permutation import permuted
 
 LEARNING_RATE = 1e-4
 WEIGHT_DECAY = 1e-5
@@ -21,50 +25,21 @@ def first_adam_step(weight, gradient, rate=LEARNING_RATE, decay=WEIGHT_DECAY):
     return weight - rate * g / (size + ADAM_EPSILON)
 
 
-def with_prediction(rows: DataFrame, model, name: str = "_p") -> DataFrame:
-    """Adds the model's score, which the sums below read many times."""
-    return rows.withColumn(name, model.score())
+def with_features(rows: DataFrame, model, keep=("r", "n")) -> DataFrame:
+    """The features of a linear model as one array ``x`` beside the columns to keep."""
+    return rows.select(assemble(model.features).alias("x"), *keep)
 
 
-def _feature_sums(factor: str, features, prefix: str, power: int = 1):
-    """``sum(factor * x^power)`` per feature; the intercept is a feature that is always 1."""
-    terms = [f"sum({factor}) as {prefix}intercept"]
-    terms += [f"sum({' * '.join([factor] + [f'`{f}`'] * power)}) as `{prefix}{f}`" for f in features]
-    return [F.expr(t) for t in terms]
-
-
-def gradient_sums(model, p: str = "_p"):
-    """Aggregates of the squared-error gradient of a linear or logistic model.
-
-    The rows have the features of the pulled offer, reward ``r``, a weight ``n``
-    and the prediction.
-    """
-    slope = f" * {p} * (1D - {p})" if model.link == "logit" else ""
-    return _feature_sums(f"(n * 2D * ({p} - r){slope})", model.features, "g_")
-
-
-def precision_sums(model, p: str = "_p"):
-    """Aggregates of ``sum(x^2 p (1-p))`` per feature, intercept included."""
-    return _feature_sums(f"(n * {p} * (1D - {p}))", model.features, "q_", power=2)
-
-
-def log_loss_gradient_sums(model, p: str = "_p"):
-    """Aggregates of the log-loss gradient ``sum((p - r) x)``, intercept included."""
-    return _feature_sums(f"(n * ({p} - r))", model.features, "l_")
-
-
-def long_form(sums: DataFrame, prefix: str, features, name: str) -> DataFrame:
-    """A one-row frame of sums as rows (feature, value)."""
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"{prefix}{f}").alias(name)) for f in features]
-    return sums.select(F.inline(F.array(*cells)))
+def _per_feature(spark, model, **columns) -> DataFrame:
+    """Arrays with the intercept first as rows (feature, ...); as many as the model has features."""
+    names = ["intercept", *model.features]
+    return weights_table(spark, list(zip(names, *columns.values())), list(columns))
 
 
 def gradient_step(rows: DataFrame, model, weights: DataFrame, rate=LEARNING_RATE) -> DataFrame:
     """Mean gradient per feature and the weight after one step."""
-    sums = with_prediction(rows, model).agg(F.sum("n").alias("_rows"), *gradient_sums(model))
-    features = ["intercept"] + model.features
-    means = sums.select(*[(F.col(f"g_{f}") / F.col("_rows")).alias(f"g_{f}") for f in features])
-    grads = long_form(means, "g_", features, "gradient")
+    sums = linear_sums(with_features(rows, model), model)
+    grads = _per_feature(rows.sparkSession, model, gradient=sums["gradient"] / max(sums["n"], 1.0))
     return weights.join(grads, "feature").select(
         "feature", "gradient", first_adam_step(F.col("w"), F.col("gradient"), rate).alias("w_new")
     )
@@ -72,20 +47,17 @@ def gradient_step(rows: DataFrame, model, weights: DataFrame, rate=LEARNING_RATE
 
 def posterior_precision(rows: DataFrame, model, weights: DataFrame) -> DataFrame:
     """Precision per feature after seeing the rows: ``q + sum(x^2 p (1-p))``."""
-    added = long_form(with_prediction(rows, model).agg(*precision_sums(model)), "q_", ["intercept"] + model.features, "q_added")
+    sums = linear_sums(with_features(rows, model), model)
+    added = _per_feature(rows.sparkSession, model, q_added=sums["precision"])
     return weights.join(added, "feature").select("feature", (F.col("q") + F.col("q_added")).alias("q_new"))
 
 
 def posterior_objective(rows: DataFrame, model, weights: DataFrame) -> DataFrame:
     """Prior term ``0.5 sum(q (w-m)^2)`` and log loss of the rows, in one row."""
     gap = F.col("w") - F.col("m")
-    prior = weights.agg(F.sum(F.lit(0.5) * F.col("q") * gap * gap).alias("prior"))
-    return (
-        with_prediction(rows, model)
-        .agg(F.expr("sum(-n * (r * ln(_p) + (1D - r) * ln(1D - _p)))").alias("data_term"))
-        .withColumn("prior_term", prior.scalar())
-        .withColumn("objective", F.col("prior_term") + F.col("data_term"))
-    )
+    prior = weights.agg(F.sum(F.lit(0.5) * F.col("q") * gap * gap).alias("prior_term"))
+    loss = linear_sums(with_features(rows, model), model)["log_loss"]
+    return prior.withColumn("data_term", F.lit(loss)).withColumn("objective", F.col("prior_term") + F.col("data_term"))
 
 
 def holdout_flag(key, share: float = 0.10, seed=100):
@@ -94,11 +66,15 @@ def holdout_flag(key, share: float = 0.10, seed=100):
 
 
 def shuffled_batches(rows: DataFrame, key: str, epochs: int, size: int = 126, seed=100) -> DataFrame:
-    """Minibatch number of every row in every epoch, in a new order each epoch."""
-    replayed = replicate_epochs(rows.select(key), epochs).withColumn("_order", shuffle_key(seed, "epoch", key))
-    numbered = number_rows(replayed, ["epoch", "_order", key], "_row", start=0, total="_total", drop=["_order"])
-    place = F.col("_row") - F.col("epoch") * (F.col("_total") / F.lit(epochs))
-    return numbered.select("epoch", key, F.floor(place / F.lit(size)).cast("bigint").alias("batch"))
+    """Minibatch number of every row in every epoch, in a new order each epoch.
+
+    Rows are numbered once; the place of a row in an epoch's order is computed from its number, so nothing is sorted or
+    stored per epoch.
+    """
+    numbered = number_rows(rows.select(key), [key], "_row", start=0)
+    n = numbered.count()
+    places = replicate_epochs(numbered, epochs).withColumn("_place", permuted("_row", n, "epoch", seed))
+    return places.select("epoch", key, F.expr(f"_place div {size}").alias("batch"))
 
 
 def replicate_epochs(rows: DataFrame, epochs: int) -> DataFrame:

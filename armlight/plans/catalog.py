@@ -18,7 +18,7 @@ from armlight.plans import rounds as O
 from armlight.session import fresh_path
 from armlight.sources import files as S
 from armlight.sources import interactions as I
-from armlight.sources.stores import load_model, save_model
+from armlight.sources.stores import load_net
 from armlight.streaming import replay_stream as RS
 
 LOGIT = R.Policy("logit")
@@ -27,8 +27,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
-# the replay stops after the row that makes the counter exceed this number
-REPLAY_STOP = 50_000
 SAMPLE_SHARE = 0.01
 
 
@@ -83,10 +81,9 @@ def metrics_log_roundtrip(spark, sf):
 
 
 def weights_roundtrip(spark, sf):
-    path = fresh_path(spark, "model")
-    save_model(spark, I.policy_model(), path)
-    model = load_model(spark, path, I.policy_model())
-    return _round(I.interactions(spark, sf).select("event_id", model.score().alias("prob")), 9, "prob")
+    """Scores of the fitted net, read back from its last committed version."""
+    net, _ = load_net(spark, _fitted(spark, sf, "reward")[0])
+    return _round(I.interactions(spark, sf).select("event_id", net.score().alias("prob")), 6, "prob")
 
 
 # projections
@@ -132,8 +129,10 @@ def reward_threshold(spark, sf):
     return _round(rows.withColumn("r", reward("prob")), 9, "prob")
 
 
-def replay_prefix(spark, sf):
-    return _tables(spark, sf).replay.where(F.col("seq") <= REPLAY_STOP + 1).select("seq", "user_key", "offer_key")
+def replay_prefix(spark, sf, stop=None):
+    """The replay up to the row after ``stop``; by default all of it."""
+    rows = _tables(spark, sf).replay.select("seq", "user_key", "offer_key")
+    return rows if stop is None else rows.where(F.col("seq") <= stop + 1)
 
 
 def prob_target_pairs(spark, sf):
@@ -432,6 +431,13 @@ def score_mlp_wide(spark, sf):
     return _round(rows, 6, "score")
 
 
+def score_mlp_halving(spark, sf):
+    """Five layers that halve the width, n, n/2, n/4, n/8, n/16, 1, over whole embeddings."""
+    net = rule_net(layer_widths(EMBEDDING_WIDTH, "halving"))
+    rows = I.table(spark, sf, "embeddings").select("vec_id", net.score_array("embedding").alias("score"))
+    return _round(rows, 6, "score")
+
+
 def vector_dot(spark, sf):
     vectors = I.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding")
     joined = D.attach_dimension(vectors, S.stage(_centroids(spark, sf), "centroids"), "label", "vec_id")
@@ -506,29 +512,12 @@ def _metrics(policy_of):
     return run
 
 
-def policy_rounds(spark, sf):
-    log, _ = O.policy_rounds(_tables(spark, sf), LOGIT)
-    return _round_log(O.rounds_table(spark, log))
-
-
-def policy_rounds_linear(spark, sf):
-    log, _ = O.policy_rounds(_tables(spark, sf), R.Policy("linear"), epochs=1)
-    return _round_log(O.rounds_table(spark, log))
-
-
-def policy_rounds_egreedy(spark, sf):
-    log, _ = O.policy_rounds(_tables(spark, sf), LOGIT_EXPLORE, epochs=1)
-    return _round_log(O.rounds_table(spark, log))
-
-
-def policy_rounds_egreedy_compat(spark, sf):
-    log, _ = O.policy_rounds(_tables(spark, sf), LOGIT_EXPLORE, epochs=1, compat=True)
-    return _round_log(O.rounds_table(spark, log))
-
+def _rounds(policy, **options):
+    def run(spark, sf):
+        log, _ = O.policy_rounds(_tables(spark, sf), policy, **options)
+        return _round_log(O.rounds_table(spark, log))
 
-def policy_rounds_deep(spark, sf):
-    log, _ = O.policy_rounds(_tables(spark, sf), R.Policy("deep"), rounds=2, epochs=1)
-    return _round_log(O.rounds_table(spark, log))
+    return run
 
 
 def _round_log(log):
@@ -536,7 +525,7 @@ def _round_log(log):
 
 
 def thompson_rounds(spark, sf):
-    log = O.thompson_rounds(_tables(spark, sf), rounds=3, steps=4)
+    log = O.thompson_rounds(_tables(spark, sf), rounds=3, steps=10)
     return _round(O.thompson_table(spark, log), 6, "m", "q", "reward", "loss", "regret")
 
 
@@ -545,24 +534,35 @@ def train_holdout_split(spark, sf):
 
 
 def shuffled_batches(spark, sf):
-    return T.shuffled_batches(I.interactions(spark, sf), "event_id", epochs=2)
+    return T.shuffled_batches(I.interactions(spark, sf), "event_id", epochs=30)
+
+
+_FITS: dict = {}
+
+
+def _fitted(spark, sf, name):
+    """(store, error curve) of a fit, made once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITS:
+        path = fresh_path(spark, f"fit-{name}")
+        rows = E.split_rows(I.interactions(spark, sf), "event_id")
+        _FITS[key] = path, E.fit_reward_net(rows, I.fit_net(name), path, **I.FIT)
+    return _FITS[key]
 
 
 def reward_model_fit(spark, sf):
-    rows = E.split_rows(I.interactions(spark, sf), "event_id")
-    _, curve = E.fit_reward_net(rows, I.FEATURES, epochs=30, every=10)
-    return _round(curve, 4, "mse")
+    return _round(_fitted(spark, sf, "reward")[1], 6, "mse")
 
 
 def reward_model_logit(spark, sf):
-    rows = E.split_rows(I.interactions(spark, sf), "event_id")
-    model = E.fit_reward_logit(rows, I.FEATURES)
-    return _round(L.squared_error(E.ml_scores(model, rows, ["split", "target"]), "split"), 4, "mse")
+    return _round(_fitted(spark, sf, "logit")[1], 6, "mse")
 
 
 def score_table(spark, sf):
+    """The holdout scored by the fitted net as it was saved."""
+    net, _ = load_net(spark, _fitted(spark, sf, "reward")[0], I.FIT["epochs"])
     rows = E.split_rows(I.interactions(spark, sf), "event_id").where(F.col("split") == "holdout")
-    return _round(rows.select("event_id", I.reward_net().score().alias("prob"), "target"), 9, "prob")
+    return _round(E.score_net(net, rows, ["event_id", "target"]), 6, "prob")
 
 
 def _side_features(spark, sf):
@@ -620,11 +620,18 @@ QUERIES = {
         posterior_precision, posterior_objective,
         learning_curve, curve_iteration, event_sequence, lift_bins, lift_cumulative, lift_compare,
         sort_by_key, head_n, argmax_arm, proto_arm_top1, nearest_vector, policy_compare,
-        score_linear, score_logit, score_mlp, score_mlp_batched, score_mlp_wide, vector_dot,
+        score_linear, score_logit, score_mlp, score_mlp_batched, score_mlp_wide, score_mlp_halving, vector_dot,
         policy_greedy, policy_greedy_linear, policy_greedy_deep, policy_egreedy, policy_thompson,
         policy_thompson_inverse, policy_thompson_no_intercept, policy_proto_arm, reward_of_choice,
-        policy_rounds, policy_rounds_linear, policy_rounds_egreedy, policy_rounds_egreedy_compat, policy_rounds_deep,
         thompson_rounds, train_holdout_split, shuffled_batches, reward_model_fit, reward_model_logit, score_table,
         feature_set_eval, stream_batch_metrics, stream_policy_update,
     )
-} | {name: _metrics(policy) for name, policy in REPLAYS.items()}
+} | {name: _metrics(policy) for name, policy in REPLAYS.items()} | {
+    "policy_rounds": _rounds(LOGIT),
+    "policy_rounds_linear": _rounds(R.Policy("linear")),
+    "policy_rounds_egreedy": _rounds(LOGIT_EXPLORE),
+    "policy_rounds_egreedy_compat": _rounds(LOGIT_EXPLORE, compat=True),
+    "policy_rounds_linear_egreedy": _rounds(R.Policy("linear", R.EPSILON)),
+    "policy_rounds_deep": _rounds(R.Policy("deep"), rounds=2),
+    "policy_rounds_deep_egreedy": _rounds(R.Policy("deep", R.EPSILON), rounds=2),
+}

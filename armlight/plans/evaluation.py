@@ -1,17 +1,17 @@
-"""Reward model: fit, score, error, lift; with and without side features."""
+"""Reward model: fit, save, score, error, lift; with and without side features."""
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlight.functions.models import LinearModel, layer_widths
+from armlight.functions.models import DenseNet, LinearModel
+from armlight.functions.vectors import assemble
+from armlight.operators import backprop as B
 from armlight.operators.dimensions import right_join_fill
-from armlight.operators.lift import compare_lift, lift_bins, squared_error
+from armlight.operators.lift import compare_lift, lift_bins
+from armlight.operators.numbering import number_rows
 from armlight.operators.training import holdout_flag
 from armlight.sources.files import stage
+from armlight.sources.stores import has_commits, load_net, net_versions, save_net
 
 KEYS = ["user_id", "offer_id", "redeem_date"]
 
@@ -21,45 +21,52 @@ def split_rows(rows: DataFrame, key: str, share: float = 0.10, seed=100) -> Data
     return rows.withColumn("split", F.when(holdout_flag(key, share, seed), "holdout").otherwise("train"))
 
 
-def fit_reward_net(rows: DataFrame, features, epochs: int = 30, every: int = 10, seed: int = 100, layers=None):
-    """A multilayer perceptron on the training split, with the error per split as it trains.
+def training_rows(rows: DataFrame, features, key: str = "event_id", target: str = "target"):
+    """(rows with split, x and y, the same of the training split with a dense number, their count); both are written once."""
+    data = rows.select(key, "split", assemble(features).alias("x"), F.col(target).cast("double").alias("y"))
+    data = stage(data, "reward-rows")
+    train = number_rows(data.where(F.col("split") == "train").drop("split"), [key], "number", start=0)
+    return data, train, train.count()
 
-    Training is data-parallel in spark.ml and runs in stretches of ``every``
-    iterations, each starting from the weights of the one before. Hidden widths
-    follow the quarter rule; the last layer has one unit per class.
-    """
-    widths = layers or layer_widths(len(features))[:-1] + [2]
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows).select("x", "target", "split")
-    data = stage(data, "reward-fit")
-    train = data.where(F.col("split") == "train")
-    weights, curve, model = None, None, None
-    for done in range(every, epochs + 1, every):
-        learner = MultilayerPerceptronClassifier(
-            layers=widths, featuresCol="x", labelCol="target", maxIter=every, seed=seed, blockSize=1024
-        )
-        if weights is not None:
-            learner = learner.setInitialWeights(weights)
-        model = learner.fit(train)
-        weights = model.weights
-        scored = model.transform(data).select("split", "target", vector_to_array("probability")[1].alias("prob"))
-        errors = squared_error(scored, "split").withColumn("epoch", F.lit(done).cast("bigint"))
-        curve = errors if curve is None else curve.unionByName(errors)
-    return model, curve.select("epoch", "split", "n", "mse")
 
+def fit_reward_net(
+    rows: DataFrame,
+    net: DenseNet,
+    path: str,
+    epochs: int = 30,
+    batches: int = 1,
+    rate: float = B.LEARNING_RATE,
+    seed: int = 100,
+    save_every: int = 10,
+    key: str = "event_id",
+) -> DataFrame:
+    """Trains ``net`` on the training split and returns the error per epoch and split.
 
-def fit_reward_logit(rows: DataFrame, features, epochs: int = 100):
-    """Logistic regression on the training split as a spark.ml pipeline."""
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="target", maxIter=epochs, regParam=1e-5),
-    ]
-    model = Pipeline(stages=stages).fit(rows.where(F.col("split") == "train"))
-    return model
+    Adam keeps its moments over all steps; batches are shuffled anew in every epoch. The net and the moments are saved in
+    ``path`` every ``save_every`` epochs and at the end, with the epoch as version; a fit that finds a version there goes
+    on from it. Rows with a null, NaN or infinite value neither train nor count.
+    """
+    spark = rows.sparkSession
+    data, train, n = training_rows(rows, net.features, key)
+    optimizer, done = B.Adam(rate), 0
+    if has_commits(spark, path):
+        done = net_versions(spark, path).agg(F.max("version")).first()[0]
+        net, optimizer = load_net(spark, path, done)
+    curve, waiting = None, {}
+    for epoch, net, optimizer in B.train(train, net, n, epochs, batches, seed, optimizer, done):
+        if epoch % save_every == 0 or epoch == epochs:
+            save_net(spark, net, path, epoch, optimizer)
+        waiting[epoch] = net
+        # all nets of a pass are scored together, so the rows are read once for many epochs
+        if epoch == epochs or len(waiting) * B.flatten(net).nbytes >= B.MODEL_BYTES:
+            part = stage(B.errors(data, waiting).withColumnRenamed("name", "epoch"), "reward-errors")
+            curve, waiting = part if curve is None else curve.unionByName(part), {}
+    return curve
 
 
-def ml_scores(model, rows: DataFrame, keep) -> DataFrame:
-    """Scores of a fitted pipeline beside the columns to keep."""
-    return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("prob"))
+def score_net(net: DenseNet, rows: DataFrame, keep) -> DataFrame:
+    """Probabilities of a net beside the columns to keep."""
+    return rows.select(*keep, net.score().alias("prob"))
 
 
 def feature_set_eval(side: DataFrame, base: DataFrame, base_model, side_model: LinearModel, bins: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ forms all user-offer pairs, ranks with global windows and repeats nothing from
 the staged tables.
 """
 
+from armlight.plans.training_oracles import fit_ctes, net_score_sql, places_ctes
 from armlight.sources import interactions as I
 
 _INTER = """inter as (
@@ -299,7 +300,7 @@ def rounds_sql(link: str, rounds: int = 4, epochs: int = 4, epsilon: float = 0.0
     return dims(" union all ".join(outputs), *ctes)
 
 
-def deep_rounds_sql(rounds: int = 2) -> str:
+def deep_rounds_sql(rounds: int = 2, epochs: int = 4, epsilon: float = 0.0) -> str:
     """Online rounds of the net policy: forward pass, gradients by the chain rule, sign steps."""
     (w1, b1), (w2, b2), (w3, b3) = I.DEEP_POLICY_LAYERS
     start = {f"a{k}_{i}": v for k, row in enumerate(w1) for i, v in enumerate(row)}
@@ -329,29 +330,38 @@ def deep_rounds_sql(rounds: int = 2) -> str:
         "m0 as (select " + ", ".join(f"{_number(v)} as {n}" for n, v in start.items()) + ")",
     ]
     outputs = []
-    for s in range(rounds):
+    for s in range(rounds * epochs):
+        epoch, batch = divmod(s, rounds)
+        explored = "cast(null as bigint)"
+        if epsilon:
+            keep, arm = uniform_sql("7explore", str(epoch), "seq"), uniform_sql("7arm", str(epoch), "seq")
+            explored = (
+                f"case when {keep} > {_number(epsilon)} then null "
+                f"else cast(floor({arm} * (select count(*) from offers)) as bigint) end"
+            )
         ctes += [
             f"y{s} as (select x.*, {first} from pairs x, m{s} m)",
             f"z{s} as (select x.*, {second} from y{s} x, m{s} m)",
-            f"p{s} as (select x.*, {score} as pred from z{s} x, m{s} m)",
+            f"p{s} as materialized (select x.*, {score} as pred from z{s} x, m{s} m)",
             f"""b{s} as materialized (select * from (select *,
  row_number() over (partition by user_key order by pred desc, offer_key) as rk from p{s}) where rk = 1)""",
-            f"""e{s} as materialized (select b.*, cast(b.reward_prob >= 0.5e0 as int)::double as r, o.optimum
- from replay q join b{s} b on b.user_key = q.user_key join optima o on o.user_key = q.user_key, sized
- where (q.seq - 1)//size = {s})""",
+            f"""e{s} as materialized (select x.*, cast(x.reward_prob >= 0.5e0 as int)::double as r, o.optimum
+ from (select seq, user_key, {explored} as explored from replay, sized where (seq - 1)//size = {batch}) q
+ join b{s} b on b.user_key = q.user_key join optima o on o.user_key = q.user_key
+ join p{s} x on x.user_key = q.user_key and x.offer_key = coalesce(q.explored, b.offer_key))""",
             f"g{s} as materialized (select " + ", ".join(f"avg({g}) as g_{n}" for n, g in grads.items()) + f" from e{s} x, m{s} m)",
             f"m{s + 1} as materialized (select "
             + ", ".join(f"{n} - 1e-4*(g_{n} + 1e-5*{n})/(abs(g_{n} + 1e-5*{n}) + 1e-8) as {n}" for n in start)
             + f" from m{s}, g{s})",
         ]
         outputs.append(
-            f"""select 0 as epoch, {s} as batch, count(*) as n_events, {rnd('sum(r)', 6, 'reward')},
+            f"""select {epoch} as epoch, {batch} as batch, count(*) as n_events, {rnd('sum(r)', 6, 'reward')},
  {rnd('sum(abs(r - pred))', 6, 'loss')}, {rnd('sum(greatest(optimum - reward_prob, 0e0))', 6, 'regret')} from e{s}"""
         )
     return dims(" union all ".join(outputs), *ctes)
 
 
-def thompson_rounds_sql(rounds: int = 3, steps: int = 4, seed: int = 7) -> str:
+def thompson_rounds_sql(rounds: int = 3, steps: int = 10, seed: int = 7) -> str:
     """Thompson rounds as a chain of weights, like ``rounds_sql``."""
     names = ["intercept", *I.POLICY_WEIGHTS]
     ctes = [
@@ -451,6 +461,24 @@ def wide_net_sql(widths) -> str:
     return f"with {', '.join(ctes)} select vec_id, {rnd(sigmoid_sql('h'), 6, 'score')} from h{len(widths) - 1}"
 
 
+def fitted_sql(name: str, select: str) -> str:
+    """A query over split_rows, models and last, the fitted weights."""
+    rows = f"split_rows as (select event_id, {_SPLIT} as split, target::double as y, {_FEATURES} from inter)"
+    fit = fit_ctes(I.fit_net(name), **I.FIT)
+    steps = I.FIT["epochs"] * I.FIT["batches"]
+    return f"with recursive {_INTER}, {rows}, {fit}, last as (select * from models where step = {steps}) {select}"
+
+
+def errors_sql(name: str) -> str:
+    p = net_score_sql(I.fit_net(name))
+    batches = I.FIT["batches"]
+    return fitted_sql(
+        name,
+        f"""select step // {batches} as epoch, split, count(*) as n, {rnd(f'avg(({p} - y)*({p} - y))', 6, 'mse')}
+ from split_rows, models where step > 0 and step % {batches} = 0 group by 1, 2""",
+    )
+
+
 def _elements(columns):
     return ", ".join(f"{c} as x{i}" for i, c in enumerate(columns))
 
@@ -475,7 +503,7 @@ def oracle_sql() -> dict:
             f"select 'greedy' as policy, batch, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from batches",
             metric_ctes("logit"),
         ),
-        "weights_roundtrip": facts(f"select event_id, {rnd(logit_sql(), 9, 'prob')} from inter"),
+        "weights_roundtrip": fitted_sql("reward", f"select event_id, {rnd(net_score_sql(I.fit_net('reward')), 6, 'prob')} from split_rows, last"),
         "project_columns": facts(f"select event_id, offer_id, {', '.join(I.OFFER_FEATURES)}, user_id, {', '.join(I.USER_FEATURES)} from inter"),
         "drop_columns": facts(f"select user_id, offer_id, {_LAYOUT_TIME}, {_FEATURES}, target from inter"),
         "feature_slice": facts(f"select {_FEATURES}, {_SEEDS}, target as label from inter"),
@@ -485,7 +513,7 @@ def oracle_sql() -> dict:
         "reward_threshold": facts(
             f"select event_id, {rnd(REWARD, 9, 'prob')}, cast({REWARD} >= 0.5e0 as int)::double as r from inter"
         ),
-        "replay_prefix": dims("select seq, user_key, offer_key from replay where seq <= 50001"),
+        "replay_prefix": dims("select seq, user_key, offer_key from replay"),
         "prob_target_pairs": facts(f"select event_id, {rnd(logit_sql(), 9, 'prob')}, target from inter"),
         "table_profile": profile_sql(),
         "dim_users": facts("select distinct user_id, u_bal, u_bld, u_nat from inter"),
@@ -565,6 +593,7 @@ def oracle_sql() -> dict:
         "score_mlp": facts(f"select event_id, {rnd(REWARD, 9, 'score')} from inter"),
         "score_mlp_batched": facts(f"select event_id, {rnd(REWARD, 9, 'score')} from inter"),
         "score_mlp_wide": wide_net_sql((64, 16, 8, 1)),
+        "score_mlp_halving": wide_net_sql((64, 32, 16, 8, 4, 1)),
         "vector_dot": f"""with {_CENTROIDS} select y.vec_id, {rnd('sum(x.c*y.v)', 5, 'dot')}
  from cells y join centroids x on x.label = y.label and x.pos = y.pos group by y.vec_id""",
         "policy_greedy": choice_sql(LINK["logit"]),
@@ -586,18 +615,19 @@ def oracle_sql() -> dict:
             choice_ctes(LINK["logit"]),
         ),
         "policy_rounds": rounds_sql("logit"),
-        "policy_rounds_linear": rounds_sql("linear", epochs=1),
-        "policy_rounds_egreedy": rounds_sql("logit", epochs=1, epsilon=0.1),
-        "policy_rounds_egreedy_compat": rounds_sql("logit", epochs=1, epsilon=0.1, compat=True),
+        "policy_rounds_linear": rounds_sql("linear"),
+        "policy_rounds_egreedy": rounds_sql("logit", epsilon=0.1),
+        "policy_rounds_egreedy_compat": rounds_sql("logit", epsilon=0.1, compat=True),
+        "policy_rounds_linear_egreedy": rounds_sql("linear", epsilon=0.1),
         "policy_rounds_deep": deep_rounds_sql(),
+        "policy_rounds_deep_egreedy": deep_rounds_sql(epsilon=0.1),
         "thompson_rounds": thompson_rounds_sql(),
         "train_holdout_split": facts(f"select event_id, {_SPLIT} as split from inter"),
-        "shuffled_batches": facts(
-            """select epoch, event_id, (row_number() over (partition by epoch order by ('0x' || substr(md5(concat_ws(':', '100', epoch, event_id)), 1, 15))::bigint, event_id) - 1)//126 as batch
- from inter, (select unnest(range(2)) as epoch)"""
-        ),
-        "score_table": facts(
-            f"select event_id, {rnd(REWARD, 9, 'prob')}, target from inter where {_SPLIT} = 'holdout'"
+        "shuffled_batches": f"with recursive {_INTER}, {places_ctes('inter', 'event_id', 30, 100)} select epoch, event_id, x // 126 as batch from places",
+        "reward_model_fit": errors_sql("reward"),
+        "reward_model_logit": errors_sql("logit"),
+        "score_table": fitted_sql(
+            "reward", f"select event_id, {rnd(net_score_sql(I.fit_net('reward')), 6, 'prob')}, y::int as target from split_rows, last where split = 'holdout'"
         ),
         "feature_set_eval": compare_lift_sql(_SIDE),
         "stream_batch_metrics": metrics_sql("logit"),

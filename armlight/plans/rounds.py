@@ -8,11 +8,11 @@ sums; the driver holds nothing but the model.
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlight.functions.models import DenseNet, weights_table
+from armlight.operators import backprop as B
 from armlight.operators import metrics as M
 from armlight.operators import policies as P
 from armlight.operators import training as T
@@ -40,6 +40,10 @@ class RoundResult:
     sums: dict
 
 
+def _as_sums(found: dict) -> dict:
+    return {"n_events": int(found["n"]), "reward": found["r"], "loss": found["loss"], "regret": found["regret"]}
+
+
 def _metric_sums():
     sums = "sum(n) as n_events", "sum(n * r) as reward", "sum(n * loss) as loss", "sum(n * regret) as regret"
     return [F.expr(s) for s in sums]
@@ -60,62 +64,13 @@ def linear_round(exposed: DataFrame, tables: ReplayTables, model, compat: bool =
         features = best.select(F.struct(*tables.spec.offer_features).alias("best"))
         rows = rows.withColumn("_best", features.scalar())
         rows = rows.withColumns({f: F.col(f"_best.{f}") for f in tables.spec.offer_features})
-    sums = T.with_prediction(rows, model).agg(*_metric_sums(), *T.gradient_sums(model)).first().asDict()
-    n = sums["n_events"]
-    if not n:
-        return RoundResult(model, {"n_events": 0, "reward": 0.0, "loss": 0.0, "regret": 0.0})
-    weights = {f: T.first_adam_step(w, sums[f"g_{f}"] / n, rate) for f, w in model.weights.items()}
-    intercept = T.first_adam_step(model.intercept, sums["g_intercept"] / n, rate)
-    return RoundResult(model.with_values(weights, intercept), sums)
-
-
-def net_gradient(rows: DataFrame, net: DenseNet) -> DataFrame:
-    """Squared-error gradient of a net as rows (place, gradient sum).
-
-    Every task sums over all its rows and emits each weight once.
-    """
-    arrays = net.to_arrays()
-    features = list(net.features)
-
-    def partial(batches):
-        total = None
-        for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            weight = batch["n"].to_numpy(dtype=float)
-            outs = [x]
-            for k, (matrix, bias) in enumerate(arrays.layers):
-                z = outs[-1] @ matrix.T + bias
-                outs.append(np.maximum(z, 0.0) if k < len(arrays.layers) - 1 else 1.0 / (1.0 + np.exp(-z)))
-            p = outs[-1]
-            delta = 2.0 * (p - batch[["r"]].to_numpy()) * p * (1.0 - p) * weight[:, None]
-            grads = []
-            for k in range(len(arrays.layers) - 1, -1, -1):
-                grads.append(np.concatenate([(delta.T @ outs[k]).ravel(), delta.sum(axis=0)]))
-                if k:
-                    delta = (delta @ arrays.layers[k][0]) * (outs[k] > 0)
-            flat = np.concatenate(grads[::-1])
-            total = flat if total is None else total + flat
-        if total is not None:
-            yield pd.DataFrame({"place": np.arange(len(total)), "gradient": total})
-
-    parts = rows.select(*features, "r", "n").mapInPandas(partial, "place bigint, gradient double")
-    return parts.groupBy("place").agg(F.sum("gradient").alias("gradient"))
-
-
-def flatten_net(net: DenseNet) -> np.ndarray:
-    """Weights in the order of ``net_gradient``: per layer the matrix, then the bias."""
-    return np.concatenate([np.concatenate([np.ravel(m), np.ravel(b)]) for m, b in net.layers])
-
-
-def rebuild_net(net: DenseNet, flat: np.ndarray) -> DenseNet:
-    layers, at = [], 0
-    for matrix, bias in net.layers:
-        rows, cols = len(matrix), len(matrix[0])
-        m = flat[at : at + rows * cols].reshape(rows, cols)
-        at += rows * cols
-        layers.append((tuple(map(tuple, m.tolist())), tuple(flat[at : at + rows].tolist())))
-        at += rows
-    return DenseNet(net.features, tuple(layers), net.sigmoid_out)
+    found = B.linear_sums(T.with_features(rows, model, ("r", "n", "loss", "regret")), model, ("r", "loss", "regret"))
+    sums = _as_sums(found)
+    if not sums["n_events"]:
+        return RoundResult(model, sums)
+    flat = np.array([model.intercept, *model.weights.values()])
+    flat = T.first_adam_step(flat, found["gradient"] / found["n"], rate).tolist()
+    return RoundResult(model.with_values(dict(zip(model.features, flat[1:])), flat[0]), sums)
 
 
 def net_round(exposed: DataFrame, tables: ReplayTables, net: DenseNet, rate=T.LEARNING_RATE):
@@ -123,13 +78,13 @@ def net_round(exposed: DataFrame, tables: ReplayTables, net: DenseNet, rate=T.LE
     users = stage(P.greedy_net(tables.users, tables.offers, net, tables.spec.offer_features), "choices")
     rows = M.with_rewards(exposed, users, tables.offers, tables.spec.reward, "user_key", net.score())
     rows = stage(rows.select(*net.features, "r", "n", "loss", "regret"), "round")
-    sums = rows.agg(*_metric_sums()).first().asDict()
-    flat = flatten_net(net)
-    gradient = np.zeros_like(flat)
-    for place, value in net_gradient(rows, net).collect():
-        gradient[place] = value / sums["n_events"]
-    stepped = np.array([T.first_adam_step(w, g, rate) for w, g in zip(flat.tolist(), gradient.tolist())])
-    return RoundResult(rebuild_net(net, stepped), sums)
+    found = rows.agg(*_metric_sums()).first().asDict()
+    sums = {k: v or 0 for k, v in found.items()}
+    x = rows.select(F.array(*net.features).alias("x"), F.col("r").alias("y"), "n")
+    gradient, n, _ = B.summed_gradient(x, net)
+    if not n:
+        return RoundResult(net, sums)
+    return RoundResult(B.with_weights(net, T.first_adam_step(B.flatten(net), gradient / n, rate)), sums)
 
 
 def policy_rounds(
@@ -141,7 +96,12 @@ def policy_rounds(
     seed=SEED,
     rate=T.LEARNING_RATE,
 ):
-    """All rounds over the whole replay; metrics per round and the last model."""
+    """All rounds over the whole replay; metrics per round and the last model.
+
+    A proto policy has no model of its own that a round could train.
+    """
+    if policy.model not in ("linear", "logit", "deep"):
+        raise ValueError(f"rounds do not train a {policy.model!r} policy")
     size = round_size(tables, rounds)
     exploring = policy.epsilon > 0
     exposed = staged_exposures(tables, policy, size, epochs if exploring else 1, seed)
@@ -203,34 +163,17 @@ def thompson_rounds(
         users = P.greedy_linear(tables.users, tables.offers, drawn, tables.spec.offer_features)
         part = exposed.where((F.col("epoch") == 0) & (F.col("batch") == batch))
         rows = M.with_rewards(part, users, tables.offers, tables.spec.reward, "user_key")
-        # users with equal features and reward count as one weighted row
-        rows = rows.groupBy(*base.features, "r").agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("loss")).alias("loss"),
-            F.sum(F.col("n") * F.col("regret")).alias("regret"),
-        )
-        rows = stage(rows, "thompson")
-        w = dict(m)
+        rows = stage(T.with_features(rows, base, ("r", "n", "loss", "regret")), "thompson")
+        prior_q, prior_m = (np.array([v[f] for f in names]) for v in (q, m))
+        flat = prior_m
         for _ in range(steps):
-            model = as_model(w)
-            fitted = T.with_prediction(rows, model)
-            s = fitted.agg(*T.log_loss_gradient_sums(model), *T.precision_sums(model)).first()
-            w = {
-                f: w[f]
-                - (q[f] * (w[f] - m[f]) + (s[f"l_{f}"] or 0.0)) / (len(names) * (q[f] + (s[f"q_{f}"] or 0.0)))
-                for f in names
-            }
-        model = as_model(w)
-        s = T.with_prediction(rows, model).agg(
-            F.sum("n").alias("n_events"),
-            F.sum(F.col("n") * F.col("r")).alias("reward"),
-            F.sum("loss").alias("loss"),
-            F.sum("regret").alias("regret"),
-            *T.precision_sums(model),
-        ).first()
+            s = B.linear_sums(rows, as_model(dict(zip(names, flat.tolist()))))
+            flat = flat - (prior_q * (flat - prior_m) + s["log_gradient"]) / (len(names) * (prior_q + s["precision"]))
+        w = dict(zip(names, flat.tolist()))
+        s = B.linear_sums(rows, as_model(w), ("r", "loss", "regret"))
         m = w
-        q = {f: q[f] + (s[f"q_{f}"] or 0.0) for f in names}
-        log.append((batch, s.asDict(), dict(m), dict(q)))
+        q = dict(zip(names, (prior_q + s["precision"]).tolist()))
+        log.append((batch, _as_sums(s), dict(m), dict(q)))
     return log
 
 

@@ -6,7 +6,7 @@ events is the log, customer gives the user features, part the offer features.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armlight.functions.models import DenseNet, LinearModel, weights_table
+from armlight.functions.models import DenseNet, LinearModel, layer_widths, rule_net, weights_table
 from armlight.operators.dimensions import attach_dimension
 
 OFFER_FEATURES = ["o_size", "o_price", "o_promo"]
@@ -14,6 +14,7 @@ USER_FEATURES = ["u_bal", "u_bld", "u_nat"]
 FEATURES = OFFER_FEATURES + USER_FEATURES
 OFFER_COLUMNS = ["offer_id"] + OFFER_FEATURES
 USER_COLUMNS = ["user_id"] + USER_FEATURES
+# The side columns of the file layout
 SEED_COLUMNS = ["tenure_seeds", "recency_seeds", "dollars_seeds", "units_seeds", "trips_seeds"]
 
 # Policy means w = m, precisions q, per feature and intercept
@@ -85,6 +86,15 @@ def critic_net() -> DenseNet:
     return DenseNet(tuple(USER_FEATURES + OFFER_FEATURES), CRITIC_LAYERS)
 
 
+# fits of the catalog: two batches an epoch, with a rate to match, as a step is a Spark job
+FIT = {"epochs": 30, "batches": 2, "rate": 2e-2, "seed": 100}
+
+
+def fit_net(name: str) -> DenseNet:
+    """The net that a fit starts from: the reward net of widths n, n/4, n/8, 1, or a logistic model."""
+    return rule_net(layer_widths(len(FEATURES)) if name == "reward" else [len(FEATURES), 1], FEATURES)
+
+
 def policy_table(spark: SparkSession) -> DataFrame:
     """The policy as a weights table (feature, w, m, q), intercept first."""
     rows = [("intercept", POLICY_INTERCEPT, POLICY_INTERCEPT, POLICY_PRECISIONS["intercept"])]

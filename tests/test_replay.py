@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from armlight.operators import metrics as M
+from armlight.operators import backprop as B
 from armlight.operators import pairing as PR
 from armlight.operators import policies as P
 from armlight.plans import replay as R
@@ -113,13 +114,14 @@ def test_net_gradient_by_differences(spark, replay):
     ).persist()
     pdf = rows.toPandas()
     x, r, n = pdf[I.FEATURES].to_numpy(), pdf["r"].to_numpy(), pdf["n"].to_numpy()
-    flat = O.flatten_net(net)
+    flat = B.flatten(net)
 
     def loss(values):
-        layers = O.rebuild_net(net, values).layers
+        layers = B.with_weights(net, values).layers
         return sum(w * (brute.net(layers, a)[0] - b) ** 2 for a, b, w in zip(x, r, n))
 
-    got = {p: g for p, g in O.net_gradient(rows, net).collect()}
+    got, count, error = B.summed_gradient(rows.select(F.array(*I.FEATURES).alias("x"), F.col("r").alias("y"), "n"), net)
+    assert (count, error) == (n.sum(), pytest.approx(loss(flat)))
     for k in range(len(flat)):
         up, down = flat.copy(), flat.copy()
         up[k] += 1e-6
@@ -133,7 +135,7 @@ def test_deep_rounds_take_sign_steps(replay):
 
     log, model = O.policy_rounds(replay, R.Policy("deep"), rounds=2, epochs=1)
     assert sum(s["n_events"] for _, _, s, _ in log) == 600
-    moved = np.abs(O.flatten_net(model) - O.flatten_net(I.deep_policy_net()))
+    moved = np.abs(B.flatten(model) - B.flatten(I.deep_policy_net()))
     assert moved.max() <= 2e-4 + 1e-9 and (moved > 0).any()
 
 
