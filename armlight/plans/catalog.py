@@ -13,6 +13,7 @@ from armlight.operators import policies as P
 from armlight.operators import training as T
 from armlight.operators.numbering import in_batches
 from armlight.plans import evaluation as E
+from armlight.plans import learning as LE
 from armlight.plans import replay as R
 from armlight.plans import rounds as O
 from armlight.session import fresh_path
@@ -299,19 +300,26 @@ def posterior_objective(spark, sf):
 # windows
 
 
-def _logs(spark, sf):
-    t = _tables(spark, sf)
-    return {
-        "greedy": R.metric_log(t, "greedy", LOGIT),
-        "egreedy": R.metric_log(t, "egreedy", LOGIT_EXPLORE),
-    }
+LEARNERS = {
+    "greedy": LOGIT, "egreedy": LOGIT_EXPLORE, "linear": R.Policy("linear"), "linear_egreedy": R.Policy("linear", R.EPSILON),
+}
+_LOGS: dict = {}
+
+
+def _learnt(spark, sf):
+    """The log of all learning policies, made once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOGS:
+        _LOGS[key] = LE.learn(_tables(spark, sf), LEARNERS)[0]
+    return _LOGS[key]
+
+
+def learning_log(spark, sf):
+    return _round(_learnt(spark, sf), 6, "reward", "loss", "regret")
 
 
 def learning_curve(spark, sf):
-    logs = _logs(spark, sf)
-    curve = M.moving_average(
-        logs["greedy"].unionByName(logs["egreedy"]), ["reward", "loss", "regret"], "iteration"
-    )
+    curve = M.moving_average(_learnt(spark, sf), ["reward", "loss", "regret"], "iteration")
     return _round(curve, 6, "avg_reward", "avg_loss", "avg_regret")
 
 
@@ -400,7 +408,9 @@ def nearest_vector(spark, sf):
 
 
 def policy_compare(spark, sf):
-    both = M.compare_policies(_logs(spark, sf), ["reward", "loss", "regret"])
+    log = _learnt(spark, sf)
+    logs = {name: log.where(F.col("policy") == name) for name in LEARNERS}
+    both = M.compare_policies(logs, ["reward", "loss", "regret"])
     return _round(both, 6, *[c for c in both.columns if c != "metric"])
 
 
@@ -618,7 +628,7 @@ QUERIES = {
         batch_assign, batch_reward, batch_loss, batch_regret, regret_abs, regret_binary, optimal_reward,
         complete_batches, dim_counts, distinct_offer_count, mse, policy_gradient_step, policy_gradient_step_linear,
         posterior_precision, posterior_objective,
-        learning_curve, curve_iteration, event_sequence, lift_bins, lift_cumulative, lift_compare,
+        learning_log, learning_curve, curve_iteration, event_sequence, lift_bins, lift_cumulative, lift_compare,
         sort_by_key, head_n, argmax_arm, proto_arm_top1, nearest_vector, policy_compare,
         score_linear, score_logit, score_mlp, score_mlp_batched, score_mlp_wide, score_mlp_halving, vector_dot,
         policy_greedy, policy_greedy_linear, policy_greedy_deep, policy_egreedy, policy_thompson,

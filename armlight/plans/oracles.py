@@ -300,6 +300,48 @@ def rounds_sql(link: str, rounds: int = 4, epochs: int = 4, epsilon: float = 0.0
     return dims(" union all ".join(outputs), *ctes)
 
 
+def learning_ctes(policies: dict, rounds: int = 4, epochs: int = 4) -> list:
+    """CTE log(policy, epoch, batch, iteration, n_events, n_unscored, reward, loss, regret): every policy replayed alone.
+
+    ``policies`` maps names to (link, epsilon).
+    """
+    names = ["intercept", *I.POLICY_WEIGHTS]
+    first = {"intercept": I.POLICY_INTERCEPT, **I.POLICY_WEIGHTS}
+    ctes, outputs = [_PAIRS, f"sized as (select (count(*) + {128 * rounds - 1})//{128 * rounds} as per_round from replay)"], []
+    for k, (name, (link, epsilon)) in enumerate(policies.items()):
+        ctes.append(f"m{k}_0 as (select " + ", ".join(f"{_number(first[f])} as w_{f}" for f in names) + ")")
+        z = "(" + " + ".join(f"m.w_{f}*p.{f}" for f in I.POLICY_WEIGHTS) + " + m.w_intercept)"
+        score = sigmoid_sql(z) if link == "logit" else z
+        for s in range(rounds * epochs):
+            epoch, number = divmod(s, rounds)
+            explored = "cast(null as bigint)"
+            if epsilon:
+                keep, arm = uniform_sql("7explore", str(epoch), "seq"), uniform_sql("7arm", str(epoch), "seq")
+                explored = f"case when {keep} > {_number(epsilon)} then null else cast(floor({arm} * (select count(*) from offers)) as bigint) end"
+            slope = "*p_train*(1e0-p_train)" if link == "logit" else ""
+            grads = ", ".join(f"avg(2e0*(p_train - r){slope}*{f}) as g_{f}" for f in names)
+            moved = ", ".join(f"w_{f} - 1e-4*(g_{f} + 1e-5*w_{f})/(abs(g_{f} + 1e-5*w_{f}) + 1e-8) as w_{f}" for f in names)
+            t = f"{k}_{s}"
+            ctes += [
+                f"""b{t} as materialized (select * from (select p.*, {score} as pred,
+ row_number() over (partition by p.user_key order by {score} desc, p.offer_key) as rk from pairs p, m{t} m) where rk = 1)""",
+                f"""e{t} as materialized (select x.batch, cast(p.reward_prob >= 0.5e0 as int)::double as r, p.reward_prob as r_prob,
+ o.optimum, b.pred, {score} as p_train, {', '.join(f'p.{f} as {f}' for f in I.POLICY_WEIGHTS)}, 1e0 as intercept
+ from (select (seq - 1)//128 as batch, user_key, {explored} as explored from replay, sized where ((seq - 1)//128)//per_round = {number}) x
+ join b{t} b on b.user_key = x.user_key join optima o on o.user_key = x.user_key
+ join pairs p on p.user_key = x.user_key and p.offer_key = coalesce(x.explored, b.offer_key), m{t} m)""",
+                f"g{t} as materialized (select {grads} from e{t})",
+                f"m{k}_{s + 1} as materialized (select {moved} from m{t}, g{t})",
+            ]
+            outputs.append(
+                f"""select '{name}' as policy, {epoch} as epoch, batch, count(*) as n_events, 0::bigint as n_unscored, sum(r) as reward,
+ sum(abs(r - pred)) as loss, sum(greatest(optimum - r_prob, 0e0)) as regret from e{t} group by batch having count(*) = 128"""
+            )
+    ctes.append("rounds_log as (" + " union all ".join(outputs) + ")")
+    ctes.append("log as (select *, row_number() over (partition by policy order by epoch, batch) as iteration from rounds_log)")
+    return ctes
+
+
 def deep_rounds_sql(rounds: int = 2, epochs: int = 4, epsilon: float = 0.0) -> str:
     """Online rounds of the net policy: forward pass, gradients by the chain rule, sign steps."""
     (w1, b1), (w2, b2), (w3, b3) = I.DEEP_POLICY_LAYERS
@@ -487,11 +529,15 @@ def oracle_sql() -> dict:
     curve = ", ".join(
         rnd(f"avg({m}) over w", 6, f"avg_{m}") for m in ("reward", "loss", "regret")
     )
-    two_logs = f"({log_sql('greedy', 0.0)}) union all ({log_sql('egreedy', 0.1)})"
+    learners = {"greedy": ("logit", 0.0), "egreedy": ("logit", 0.1), "linear": ("linear", 0.0), "linear_egreedy": ("linear", 0.1)}
+    learnt = learning_ctes(learners)
     compare = " union all ".join(
-        f"""select '{m}' as metric, {rnd(f"sum({m}) filter (policy = 'greedy')", 6, 'greedy_total')},
- {rnd(f"avg({m}) filter (policy = 'greedy')", 6, 'greedy_mean')}, {rnd(f"sum({m}) filter (policy = 'egreedy')", 6, 'egreedy_total')},
- {rnd(f"avg({m}) filter (policy = 'egreedy')", 6, 'egreedy_mean')} from logs"""
+        f"select '{m}' as metric, "
+        + ", ".join(
+            f"""{rnd(f"sum({m}) filter (policy = '{p}')", 6, f'{p}_total')}, {rnd(f"avg({m}) filter (policy = '{p}')", 6, f'{p}_mean')}"""
+            for p in learners
+        )
+        + " from log"
         for m in ("reward", "loss", "regret")
     )
     sql = {
@@ -558,8 +604,14 @@ def oracle_sql() -> dict:
         "policy_gradient_step_linear": gradient_sql("linear"),
         "posterior_precision": precision_sql(),
         "posterior_objective": objective_sql(),
-        "learning_curve": f"with logs as ({two_logs}) select policy, iteration, {curve} from logs "
-        "window w as (partition by policy order by iteration rows between 100 preceding and current row)",
+        "learning_log": dims(
+            f"select policy, epoch, batch, iteration, n_events, n_unscored, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from log",
+            *learnt,
+        ),
+        "learning_curve": dims(
+            f"select policy, iteration, {curve} from log window w as (partition by policy order by iteration rows between 100 preceding and current row)",
+            *learnt,
+        ),
         "curve_iteration": f"select policy, epoch, batch, iteration from ({log_sql('greedy', 0.0)})",
         "event_sequence": dims("select event_id, seq from replay"),
         "lift_bins": facts(
@@ -587,7 +639,7 @@ def oracle_sql() -> dict:
  from embeddings a cross join embeddings b)
  select query_id, vec_id, {rnd('score', 5, 'score')} from
  (select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from dots) where rk = 1""",
-        "policy_compare": f"with logs as ({two_logs}) {compare}",
+        "policy_compare": dims(compare, *learnt),
         "score_linear": facts(f"select event_id, {rnd(linear_sql(), 9, 'score')} from inter"),
         "score_logit": facts(f"select event_id, {rnd(logit_sql(), 9, 'score')} from inter"),
         "score_mlp": facts(f"select event_id, {rnd(REWARD, 9, 'score')} from inter"),
