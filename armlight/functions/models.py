@@ -111,10 +111,13 @@ class DenseNet:
         return [_sigmoid(h) if self.sigmoid_out else h for h in hidden]
 
     def outputs(self):
-        """One Column per output unit; all arithmetic stays in generated code."""
+        """One Column per output unit, null or NaN if a feature is; all arithmetic stays in generated code."""
         matrix, bias = self.layers[0]
         inputs = _quoted(self.features)
-        return [F.expr(o) for o in self._finish([weighted_sum(row, inputs, b) for row, b in zip(matrix, bias)])]
+        found = self._finish([weighted_sum(row, inputs, b) for row, b in zip(matrix, bias)])
+        # greatest() skips nulls, so a missing feature has to be asked for
+        missing = " or ".join(f"{x} is null" for x in inputs)
+        return [F.expr(f"if({missing}, null, {o})") for o in found]
 
     def output_vector(self) -> Column:
         """All outputs as one array."""

@@ -180,20 +180,21 @@ def linear_sums(rows: DataFrame, model, extras=()) -> dict:
 
     "gradient" of the squared error, "log_gradient" of the log loss and "precision", sum(x^2 p (1-p)), are arrays with
     the intercept first; "n", "log_loss" and the n-fold extras are numbers. Rows with a null, NaN or infinite value are
-    left out. Features are summed as matrix products, so the width may be thousands.
+    left out of all but "given", which counts them too. Features are summed as matrix products, so the width may be thousands.
     """
     width = len(model.features)
     weights = np.array([model.intercept, *model.weights.values()], float)
     link = model.link
 
     def partial(batches):
-        total, flat = np.zeros(2 + len(extras)), np.zeros(3 * (width + 1))
+        total, flat = np.zeros(3 + len(extras)), np.zeros(3 * (width + 1))
         for batch in batches:
             step = max(1, CELLS // max(width, 1))
             for start in range(0, len(batch), step):
                 part = batch.slice(start, step)
                 x = matrix_of(part["x"], width)
                 r, n, *rest = (part[c].to_numpy(zero_copy_only=False).astype(float) for c in ("r", "n", *extras))
+                given = n.sum()
                 good = usable(x, r + sum(rest))
                 x, r, n, rest = x[good], r[good], n[good], [e[good] for e in rest]
                 p = predicted(x, weights, link)
@@ -208,13 +209,13 @@ def linear_sums(rows: DataFrame, model, extras=()) -> dict:
                 flat[at + 1 :] += (n * slope) @ (x * x)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     loss = -np.where(r == 1, np.log(p), np.where(r == 0, np.log(1 - p), r * np.log(p) + (1 - r) * np.log(1 - p)))
-                total += [n.sum(), (n * loss).sum() if link == "logit" else 0.0, *((n * e).sum() for e in rest)]
+                total += [given, n.sum(), (n * loss).sum() if link == "logit" else 0.0, *((n * e).sum() for e in rest)]
         yield _as_blocks(total, flat)
 
     found = _collected(_summed_blocks(rows.select("x", *dict.fromkeys(("r", "n", *extras))).mapInArrow(partial, _BLOCK_ROWS), 3 * (width + 1)))
-    total, flat = found if found else (np.zeros(2 + len(extras)), np.zeros(3 * (width + 1)))
+    total, flat = found if found else (np.zeros(3 + len(extras)), np.zeros(3 * (width + 1)))
     named = dict(zip(("gradient", "log_gradient", "precision"), flat.reshape(3, width + 1)))
-    return named | dict(zip(("n", "log_loss", *extras), total.tolist()))
+    return named | dict(zip(("given", "n", "log_loss", *extras), total.tolist()))
 
 
 @dataclass

@@ -32,28 +32,32 @@ def with_rewards(
 
     ``users`` brings features, ``best_offer``, ``best_score`` and ``optimum``.
     ``pred`` is the prediction that the loss compares with the reward; default is
-    the score of the best offer.
+    the score of the best offer. An event without a finite probability, prediction
+    or optimum is unscored: its reward, loss and regrets are null.
     """
     rows = attach_dimension(exposed, users, "user_key", row_id, hot_rows=hot_rows)
     rows = rows.withColumn("offer_key", F.coalesce("explored", "best_offer"))
     rows = attach_dimension(rows, offers, "offer_key", row_id, hot_rows=hot_rows)
     rows = rows.select("*", net.score().alias("r_prob"), (F.col("best_score") if pred is None else pred).alias("pred"))
-    rows = rows.withColumn("r", reward("r_prob"))
+    # null, NaN and infinity all fail the comparison
+    scored = "abs(r_prob) + abs(pred) + abs(optimum) < double('infinity')"
+    rows = rows.withColumn("r", F.when(F.expr(scored), reward("r_prob")))
     return rows.withColumns(
         {
-            "loss": F.expr("abs(r - pred)"),
-            "regret": F.expr("greatest(optimum - r_prob, 0D)"),
-            "regret_abs": F.expr("abs(optimum - r_prob)"),
-            "regret_binary": F.expr("greatest(if(optimum >= 0.5D, 1D, 0D) - r, 0D)"),
+            "loss": F.expr("if(r is null, null, abs(r - pred))"),
+            "regret": F.expr("if(r is null, null, greatest(optimum - r_prob, 0D))"),
+            "regret_abs": F.expr("if(r is null, null, abs(optimum - r_prob))"),
+            "regret_binary": F.expr("if(r is null, null, greatest(if(optimum >= 0.5D, 1D, 0D) - r, 0D))"),
         }
     )
 
 
 def batch_sums(rows: DataFrame, metrics=("r", "loss", "regret"), keys=("batch",)) -> DataFrame:
-    """Event count and metric sums per batch of exposure rows with weight ``n``."""
+    """Events, unscored events and metric sums per batch of exposure rows with weight ``n``; unscored ones add nothing."""
     names = {"r": "reward"}
-    sums = [F.sum(F.col("n") * F.col(m)).alias(names.get(m, m)) for m in metrics]
-    return rows.groupBy(*keys).agg(F.sum("n").alias("n_events"), *sums)
+    sums = [F.coalesce(F.sum(F.col("n") * F.col(m)), F.lit(0.0)).alias(names.get(m, m)) for m in metrics]
+    unscored = F.sum(F.when(F.col("r").isNull(), F.col("n")).otherwise(0)).alias("n_unscored")
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n_events"), unscored, *sums)
 
 
 def complete(batches: DataFrame, size: int = BATCH_ROWS) -> DataFrame:

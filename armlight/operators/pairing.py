@@ -146,7 +146,8 @@ def best_partner(
     Default score is the dot product (maximum inner product search). Both sides
     are packed into bounded tiles, tile pairs are scored as matrices inside the
     tasks, and only the best partner per row and tile leaves a task. Ties go to
-    the lowest key.
+    the lowest key. Vectors with a null or NaN are never the best; a row that has
+    no score with any partner gets a null score.
     """
     left_tiles = _tiles(left, left_key, left_vector, "l_", tile_rows)
     right_tiles = _tiles(right, right_key, right_vector, "r_", tile_rows)
@@ -159,7 +160,9 @@ def best_partner(
         partial.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") == 1)
         .select(
-            F.col("left_key").alias(left_key), F.col("right_key").alias(right_key), F.col("score").alias(score_name)
+            F.col("left_key").alias(left_key),
+            F.col("right_key").alias(right_key),
+            F.when(F.col("score") > F.lit(float("-inf")), F.col("score")).alias(score_name),
         )
     )
 

@@ -146,7 +146,9 @@ per_event as (
  join (select *, {value} as pred_pulled from pairs) pulled
   on pulled.user_key = ex.user_key and pulled.offer_key = coalesce(ex.explored, b.offer_key)),
 batches as (
- select epoch, batch, count(*) as n_events, sum(r) as reward, sum(abs(r - pred)) as loss,
+ select epoch, batch, count(*) as n_events,
+  count(*) filter (not coalesce(abs(r_prob) + abs(pred) + abs(optimum) < 'infinity'::double, false)) as n_unscored,
+  sum(r) as reward, sum(abs(r - pred)) as loss,
   sum(greatest(optimum - r_prob, 0e0)) as regret, sum(abs(optimum - r_prob)) as regret_abs,
   sum(greatest(cast(optimum >= 0.5e0 as int)::double - r, 0e0)) as regret_binary
  from per_event group by epoch, batch having count(*) = 128)"""
@@ -154,7 +156,7 @@ batches as (
 
 def metrics_sql(model, epsilon=0.0, choices=None, pulled=False) -> str:
     return dims(
-        f"select batch, n_events, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from batches",
+        f"select batch, n_events, n_unscored, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from batches",
         metric_ctes(model, epsilon, choices=choices, pulled=pulled),
     )
 
@@ -584,7 +586,7 @@ def oracle_sql() -> dict:
             f"select r.seq, r.user_key, r.offer_key, {_FEATURES} from replay r join users u on u.user_key = r.user_key join offers o on o.offer_key = r.offer_key"
         ),
         "epoch_replay": dims(
-            f"select epoch, batch, n_events, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from batches",
+            f"select epoch, batch, n_events, n_unscored, {rnd('reward', 6, 'reward')}, {rnd('loss', 6, 'loss')}, {rnd('regret', 6, 'regret')} from batches",
             metric_ctes("logit", 0.1, 4),
         ),
         "batch_assign": dims("select seq, (seq - 1)//128 as batch, (seq - 1) % 128 as place from replay"),

@@ -41,7 +41,7 @@ class RoundResult:
 
 
 def _as_sums(found: dict) -> dict:
-    return {"n_events": int(found["n"]), "reward": found["r"], "loss": found["loss"], "regret": found["regret"]}
+    return {"n_events": int(found["given"]), "reward": found["r"], "loss": found["loss"], "regret": found["regret"]}
 
 
 def _metric_sums():
@@ -66,7 +66,7 @@ def linear_round(exposed: DataFrame, tables: ReplayTables, model, compat: bool =
         rows = rows.withColumns({f: F.col(f"_best.{f}") for f in tables.spec.offer_features})
     found = B.linear_sums(T.with_features(rows, model, ("r", "n", "loss", "regret")), model, ("r", "loss", "regret"))
     sums = _as_sums(found)
-    if not sums["n_events"]:
+    if not found["n"]:
         return RoundResult(model, sums)
     flat = np.array([model.intercept, *model.weights.values()])
     flat = T.first_adam_step(flat, found["gradient"] / found["n"], rate).tolist()

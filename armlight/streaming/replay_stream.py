@@ -69,7 +69,7 @@ def stream_batch_metrics(
 
     _run(events, handle, "stream-metrics")
     partial = spark.read.parquet(out)
-    sums = partial.groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("n_events", "reward", "loss", "regret")])
+    sums = partial.groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("n_events", "n_unscored", "reward", "loss", "regret")])
     return M.complete(sums, size)
 
 

@@ -34,7 +34,7 @@ def test_every_sql_belongs_to_a_query():
 
 
 def test_entry_has_rows(spark):
-    assert entry.entry(spark).columns == ["batch", "n_events", "reward", "loss", "regret"]
+    assert entry.entry(spark).columns == ["batch", "n_events", "n_unscored", "reward", "loss", "regret"]
     assert entry.entry(spark).count() == 7
 
 
