@@ -37,7 +37,11 @@ def with_rewards(
     """
     rows = attach_dimension(exposed, users, "user_key", row_id, hot_rows=hot_rows)
     rows = rows.withColumn("offer_key", F.coalesce("explored", "best_offer"))
-    rows = attach_dimension(rows, offers, "offer_key", row_id, hot_rows=hot_rows)
+    return with_outcomes(attach_dimension(rows, offers, "offer_key", row_id, hot_rows=hot_rows), net, pred)
+
+
+def with_outcomes(rows: DataFrame, net, pred: Column | None = None) -> DataFrame:
+    """The last part of ``with_rewards``, for rows that have the features of their user and pulled offer."""
     rows = rows.select("*", net.score().alias("r_prob"), (F.col("best_score") if pred is None else pred).alias("pred"))
     # null, NaN and infinity all fail the comparison
     scored = "abs(r_prob) + abs(pred) + abs(optimum) < double('infinity')"

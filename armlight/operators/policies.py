@@ -61,16 +61,17 @@ def greedy_proto(users: DataFrame, offers: DataFrame, actor, offer_features) ->
     return users.join(best.withColumnRenamed("offer_key", "best_offer"), "user_key")
 
 
-def explore(events: DataFrame, offers: DataFrame, epsilon: float, seed, key=("seq",)) -> DataFrame:
+def explore(events: DataFrame, offers, epsilon: float, seed, key=("seq",)) -> DataFrame:
     """Adds ``explored``: null keeps the best offer, else a uniform random offer key.
 
     The best offer is kept if the first uniform is above epsilon; the random
-    offer may be the best one again.
+    offer may be the best one again. ``offers`` is the table or, on a stream, its
+    row count.
     """
-    count = offers.agg(F.count(F.lit(1)).alias("n"))
+    count = F.lit(offers) if isinstance(offers, int) else offers.agg(F.count(F.lit(1)).alias("n")).scalar()
     arm = F.floor(uniform(f"{seed}arm", *key) * F.col("_offers")).cast("bigint")
     return (
-        events.withColumn("_offers", count.scalar())
+        events.withColumn("_offers", count)
         .withColumn("explored", F.when(uniform(f"{seed}explore", *key) > F.lit(float(epsilon)), None).otherwise(arm))
         .drop("_offers")
     )

@@ -66,16 +66,26 @@ def save_net(spark: SparkSession, net: DenseNet, path: str, version: int = 0, op
     spark.createDataFrame([commit], _COMMIT).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
-def has_commits(spark: SparkSession, path: str) -> bool:
-    """Whether any version was ever committed; asked of the store's own file system."""
+def _has_rows(spark: SparkSession, path: str, schema: str) -> bool:
+    """Whether a table is there and not empty; asked of its own file system."""
     try:
-        return not spark.read.schema(_COMMIT).parquet(f"{path}/commits").isEmpty()
+        return not spark.read.schema(schema).parquet(path).isEmpty()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return False
 
 
+def has_commits(spark: SparkSession, path: str) -> bool:
+    """Whether any version of a net was ever committed."""
+    return _has_rows(spark, f"{path}/commits", _COMMIT)
+
+
+def has_model(spark: SparkSession, path: str) -> bool:
+    """Whether any version of a linear model was written."""
+    return _has_rows(spark, path, "feature string, w double")
+
+
 def net_versions(spark: SparkSession, path: str) -> DataFrame:
     """(version, written, folder, ...) of the committed versions, each once: the last commit holds."""
     commits = spark.read.schema(_COMMIT).parquet(f"{path}/commits")

@@ -81,3 +81,46 @@ def test_stream_updates_equal_rounds(spark, replay):
         stored = load_model(spark, path, model, k + 1)
         assert stored.intercept == pytest.approx(model.intercept, abs=1e-15)
         assert list(stored.weights.values()) == pytest.approx(list(model.weights.values()), abs=1e-15)
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.3])
+def test_stream_metrics_go_on_after_a_stop(spark, replay, epsilon):
+    """Two runs over one location: the batch that is open at the stop is closed by the second run."""
+    policy, location, path = R.Policy("logit", epsilon), fresh_path(spark, "resume"), fresh_path(spark, "events")
+    part = [F.col("seq") % 3 == 0, F.col("seq") % 3 != 0]
+    events = replay.replay.select("seq", "user_key")
+    events.where(part[0]).write.mode("append").parquet(path)
+    first = RS.stream_batch_metrics(RS.read_events(spark, path, 2), replay, policy, location=location)
+    assert first.count() == 0
+    events.where(part[1]).repartition(3).write.mode("append").parquet(path)
+    RS.stream_batch_metrics(RS.read_events(spark, path, 2), replay, policy, location=location)
+    again = RS.stream_batch_metrics(RS.read_events(spark, path, 2), replay, policy, location=location)
+    got = {r.batch: tuple(r) for r in again.collect()}
+    want = {r.batch: r for r in R.policy_metrics(replay, policy).collect()}
+    assert got.keys() == want.keys() and again.count() == len(want)
+    for b, r in want.items():
+        assert got[b] == pytest.approx((b, r.n_events, r.n_unscored, r.reward, r.loss, r.regret))
+
+
+def test_streams_without_events(spark, replay):
+    path, location = fresh_path(spark, "events"), fresh_path(spark, "resume")
+    replay.replay.where("false").select("seq", "user_key").write.parquet(path)
+    assert RS.stream_batch_metrics(RS.read_events(spark, path, 2), replay, R.Policy("logit")).count() == 0
+    model = I.policy_model()
+    versions = RS.stream_policy_update(RS.read_events(spark, path, 2), replay, model, location=location)
+    assert load_model(spark, versions, model) == model
+
+
+def test_stream_updates_go_on_after_a_stop(spark, replay):
+    model = I.policy_model()
+    path, location = fresh_path(spark, "events"), fresh_path(spark, "resume")
+    events = replay.replay.select("seq", "user_key").coalesce(1)
+    want = model
+    for k in range(3):
+        events.where((F.col("seq") > k * 200) & (F.col("seq") <= (k + 1) * 200)).write.mode("append").parquet(path)
+        versions = RS.stream_policy_update(RS.read_events(spark, path, 1), replay, model, location=location)
+        rows = replay.replay.where((F.col("seq") > k * 200) & (F.col("seq") <= (k + 1) * 200))
+        pulled = rows.select("user_key", F.lit(k).alias("batch"), F.lit(None).cast("bigint").alias("explored"))
+        want = linear_round(M.exposures(pulled), replay, want).model
+    stored = load_model(spark, versions, model)
+    assert list(stored.weights.values()) == pytest.approx(list(want.weights.values()), abs=1e-15)
