@@ -20,6 +20,9 @@ TILE_ROWS = 1024
 DOT_PAIRS = 500_000
 PLANE_PAIRS = 20_000
 HIDDEN_CELLS = 4_000_000
+# vectors of a box, and how far a bound may be below a score by rounding
+BOX_ROWS = 32
+SLACK = 1e-9
 # largest product of first and second layer width that is scored unit by unit
 NARROW_UNITS = 256
 
@@ -92,10 +95,84 @@ def _net_block(net):
             planes = [sum(w * x for w, x in zip(row, inputs)) + b for row, b in zip(weights, shift)]
         return 1.0 / (1.0 + np.exp(-planes[0])) if net.sigmoid_out else planes[0]
 
-    return block, PLANE_PAIRS if is_narrow else max(1, HIDDEN_CELLS // units)
+    return block, PLANE_PAIRS if is_narrow else max(1, HIDDEN_CELLS // units), _net_bound(net)
 
 
-def _best_in_tiles(score_block, block_pairs, score_rows=None):
+def _dot_bound(left, low, high):
+    """Upper bounds of the dot products with any vector of each box."""
+    return np.maximum(left, 0.0) @ high.T + np.minimum(left, 0.0) @ low.T
+
+
+def _net_bound(net):
+    """Upper bounds of a net's output over boxes of first-layer parts, by interval arithmetic through the layers.
+
+    Units are bounded one by one, so the bounds of wide nets are loose and rule out little; they stay exact.
+    """
+
+    def bound(left, low, high):
+        step = max(1, HIDDEN_CELLS // max(1, low.size))
+        out = []
+        for at in range(0, len(left), step):
+            part = left[at : at + step, None, :]
+            least, most = part + low[None], part + high[None]
+            for matrix, shift in net.layers[1:]:
+                least, most = np.maximum(least, 0.0), np.maximum(most, 0.0)
+                up, down = np.maximum(matrix, 0.0).T, np.minimum(matrix, 0.0).T
+                least, most = least @ up + most @ down + shift, most @ up + least @ down + shift
+            out.append(most[:, :, 0])
+        z = np.concatenate(out)
+        return 1.0 / (1.0 + np.exp(-z)) if net.sigmoid_out else z
+
+    return bound
+
+
+def _boxes(vectors, rows=None):
+    """Row numbers of boxes of at most ``BOX_ROWS`` vectors, halved along their widest dimension."""
+    rows = np.arange(len(vectors)) if rows is None else rows
+    if len(rows) <= BOX_ROWS:
+        return [np.sort(rows)]
+    here = vectors[rows]
+    axis = np.argmax(here.max(0) - here.min(0))
+    order = rows[np.argsort(here[:, axis], kind="stable")]
+    return _boxes(vectors, order[: len(rows) // 2]) + _boxes(vectors, order[len(rows) // 2 :])
+
+
+def _branch_and_bound(left, right, boxes, corners, score_block, bound_block, block_pairs):
+    """(best row of ``right``, its score, pairs scored) per row of ``left``.
+
+    Each row first meets the box of its highest bound, then only the boxes whose bound is not below its best score; the
+    small slack covers rounding, so nothing that could win is left out.
+    """
+    best, top, scored = np.zeros(len(left), np.int64), np.full(len(left), -np.inf), 0
+    bounds = bound_block(left, *corners)
+    # a row with a NaN has no score with anyone
+    bounds = np.where(np.isnan(bounds), -np.inf, bounds)
+    first = bounds.argmax(axis=1)
+
+    def meet(rows, box):
+        nonlocal scored
+        members = boxes[box]
+        step = max(1, block_pairs // len(members))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            scores = score_block(left[some], right[members])
+            scores = np.where(np.isnan(scores), -np.inf, scores)
+            scored += scores.size
+            place = scores.argmax(axis=1)
+            value, member = scores[np.arange(len(some)), place], members[place]
+            # rows of right stand in key order, so of equal scores the lower row wins
+            better = (value > top[some]) | ((value == top[some]) & (member < best[some]) & np.isfinite(value))
+            best[some[better]], top[some[better]] = member[better], value[better]
+
+    for box in range(len(boxes)):
+        meet(np.flatnonzero((first == box) & (bounds[:, box] > -np.inf)), box)
+    for box in np.argsort(-bounds.max(axis=0), kind="stable"):
+        slack = SLACK * (1.0 + np.abs(np.where(np.isfinite(top), top, 0.0)))
+        meet(np.flatnonzero((first != box) & (bounds[:, box] >= top - slack) & (bounds[:, box] > -np.inf)), box)
+    return best, top, scored
+
+
+def _best_in_tiles(score_block, block_pairs, bound_block, score_rows=None):
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -103,33 +180,45 @@ def _best_in_tiles(score_block, block_pairs, score_rows=None):
                 order = np.argsort(right_keys, kind="stable")
                 right_keys = right_keys[order]
                 right = np.stack([np.asarray(v, dtype=float) for v in row.r_vectors])[order]
+                lowest = right_keys[0]
+                whole = np.isfinite(right).all(axis=1)
+                right, right_keys = right[whole], right_keys[whole]
                 # of equal vectors only the lowest key can win
                 right, first = np.unique(right, axis=0, return_index=True)
                 by_key = np.argsort(first)
                 right, right_keys = right[by_key], right_keys[first[by_key]]
                 left_keys = np.asarray(row.l_keys)
                 left = np.stack([np.asarray(v, dtype=float) for v in row.l_vectors])
-                step = max(1, block_pairs // len(right_keys))
-                for at in range(0, len(left_keys), step):
-                    part = left[at : at + step]
-                    scores = score_block(part, right)
-                    scores = np.where(np.isnan(scores), -np.inf, scores)
-                    # the first maximum is the lowest key, as keys are sorted
-                    best = scores.argmax(axis=1)
-                    top = scores[np.arange(len(best)), best]
+                keys, top, scored = np.full(len(left), lowest), np.full(len(left), -np.inf), 0
+                if len(right):
+                    boxes = _boxes(right)
+                    corners = np.stack([right[b].min(0) for b in boxes]), np.stack([right[b].max(0) for b in boxes])
+                    best, top, scored = _branch_and_bound(left, right, boxes, corners, score_block, bound_block, block_pairs)
                     if score_rows:
-                        top = np.where(np.isinf(top), top, score_rows(part, right[best]))
-                    yield pd.DataFrame(
-                        {
-                            "left_key": left_keys[at : at + step],
-                            "right_key": right_keys[best],
-                            "score": top,
-                        }
-                    )
+                        top = np.where(np.isinf(top), top, score_rows(left, right[best]))
+                    keys = np.where(np.isinf(top), lowest, right_keys[best])
+                counts = np.zeros(len(left), np.int64)
+                counts[0] = scored
+                yield pd.DataFrame({"left_key": left_keys, "right_key": keys, "score": top, "scored": counts})
 
     return run
 
 
+def _tile_bests(left, right, left_key, right_key, left_vector, right_vector, scorer, tile_rows) -> DataFrame:
+    """(left_key, right_key, score, scored) per left row and right tile; scored counts the pairs of a tile pair once."""
+    left_tiles = _tiles(left, left_key, left_vector, "l_", tile_rows)
+    right_tiles = _tiles(right, right_key, right_vector, "r_", tile_rows)
+    paired = pair_all(left_tiles, right_tiles, "l_tile").select("l_keys", "l_vectors", "r_keys", "r_vectors")
+    return paired.mapInPandas(_best_in_tiles(*scorer), "left_key bigint, right_key bigint, score double, scored bigint")
+
+
+def pairs_scored(left, right, left_key, right_key, left_vector, right_vector, scorer=None, tile_rows=1024) -> int:
+    """How many pairs ``best_partner`` scores; the others are ruled out by their bounds."""
+    scorer = scorer or (_dot_block, DOT_PAIRS, _dot_bound, _dot_rows)
+    found = _tile_bests(left, right, left_key, right_key, left_vector, right_vector, scorer, tile_rows)
+    return found.agg(F.sum("scored")).first()[0] or 0
+
+
 def best_partner(
     left: DataFrame,
     right: DataFrame,
@@ -137,24 +226,20 @@ def best_partner(
     right_key: str,
     left_vector: str,
     right_vector: str,
-    scorer=(_dot_block, DOT_PAIRS, _dot_rows),
+    scorer=(_dot_block, DOT_PAIRS, _dot_bound, _dot_rows),
     tile_rows: int = TILE_ROWS,
     score_name: str = "score",
 ) -> DataFrame:
     """For each left row the right row with the highest score, exactly.
 
     Default score is the dot product (maximum inner product search). Both sides
-    are packed into bounded tiles, tile pairs are scored as matrices inside the
-    tasks, and only the best partner per row and tile leaves a task. Ties go to
+    are packed into bounded tiles. Inside the tasks the right tile is cut into
+    boxes; a row is scored only against boxes whose upper bound reaches its best
+    score, and only the best partner per row and tile leaves a task. Ties go to
     the lowest key. Vectors with a null or NaN are never the best; a row that has
     no score with any partner gets a null score.
     """
-    left_tiles = _tiles(left, left_key, left_vector, "l_", tile_rows)
-    right_tiles = _tiles(right, right_key, right_vector, "r_", tile_rows)
-    paired = pair_all(left_tiles, right_tiles, "l_tile").select("l_keys", "l_vectors", "r_keys", "r_vectors")
-    partial = paired.mapInPandas(
-        _best_in_tiles(*scorer), "left_key bigint, right_key bigint, score double"
-    )
+    partial = _tile_bests(left, right, left_key, right_key, left_vector, right_vector, scorer, tile_rows)
     order = Window.partitionBy("left_key").orderBy(F.desc("score"), F.asc("right_key"))
     return (
         partial.withColumn("_rank", F.row_number().over(order))

@@ -129,3 +129,42 @@ def test_linear_model_parts_add_up(spark):
     row = spark.createDataFrame([(3.0, 4.0)], "a double, b double")
     got = row.select(model.score().alias("s"), (model.part(["a"]) + model.part(["b"], 0.5)).alias("p")).first()
     assert got.s == got.p == 2.5
+
+
+@pytest.mark.parametrize("widths", [[6, 3, 2, 1], [6, 40, 8, 1]])
+def test_best_offers_by_bounds_equal_all_pairs(spark, widths):
+    """Users and offers in the plane of few features; with ties, equal offers, and rows that miss a feature."""
+    rng = np.random.default_rng(12)
+    users, offers = rng.random((150, 3)), rng.random((2500, 3))
+    offers[100:200] = offers[0:100]
+    users[7, 1], offers[11, 2] = np.nan, np.nan
+    net = random_net(I.FEATURES, widths)
+    u = spark.createDataFrame([(k, *v) for k, v in enumerate(users.tolist())], "user_key bigint, u_bal double, u_bld double, u_nat double")
+    o = spark.createDataFrame([(k, *v) for k, v in enumerate(offers.tolist())], "offer_key bigint, o_size double, o_price double, o_promo double")
+    got = {r.user_key: (r.offer_key, r.score) for r in PR.best_offer_by_net(u, o, net, I.OFFER_FEATURES).collect()}
+    layers = net.to_arrays()
+    for k, user in enumerate(users):
+        values = layers.forward(np.hstack([offers, np.tile(user, (len(offers), 1))]))[:, 0]
+        if np.isnan(user).any():
+            assert got[k] == (0, None)
+            continue
+        assert got[k][1] == pytest.approx(np.nanmax(values), abs=1e-12)
+        assert values[got[k][0]] == pytest.approx(np.nanmax(values), abs=1e-12)
+        assert not 100 <= got[k][0] < 200
+    left = u.select("user_key", net.first_layer(I.USER_FEATURES, True).alias("_uv"))
+    right = o.select("offer_key", net.first_layer(I.OFFER_FEATURES, False).alias("_ov"))
+    scored = PR.pairs_scored(left, right, "user_key", "offer_key", "_uv", "_ov", PR._net_block(net.to_arrays()))
+    # bounds over many units are loose, so a wide net may have to score every pair
+    assert scored < (0.5 if widths[1] == 3 else 1.0) * len(users) * len(offers)
+
+
+def test_dot_products_by_bounds(spark):
+    rng = np.random.default_rng(13)
+    left, right = rng.normal(size=(200, 3)), rng.normal(size=(3000, 3))
+    a = spark.createDataFrame([(k, v) for k, v in enumerate(left.tolist())], "a bigint, x array<double>")
+    b = spark.createDataFrame([(k, v) for k, v in enumerate(right.tolist())], "b bigint, y array<double>")
+    got = {r.a: (r.b, r.score) for r in PR.best_partner(a, b, "a", "b", "x", "y").collect()}
+    values = left @ right.T
+    for k in range(200):
+        assert got[k] == (values[k].argmax(), pytest.approx(values[k].max(), abs=1e-12))
+    assert PR.pairs_scored(a, b, "a", "b", "x", "y") < 0.25 * values.size
