@@ -67,25 +67,27 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     one empty line. Rows that repeat an id are one document as far as the order of occurrences goes: the same window at
     the same place is no later occurrence. A null id comes before all others.
     """
-    spans = covered_spans(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    # columns are named through the two sides, so those of ``docs`` may have any names
+    spans = covered_spans(docs, doc_id, text).alias("found")
+    joined = docs.alias("row").join(spans, F.col(f"row.`{doc_id}`").eqNullSafe(F.col("found.doc_id")), "left")
+    given = f"row.`{text}`"
 
     def kept(lines):
         def gap(span, k):
-            begin = F.when(k > 0, at(F.col("_spans"), k - 1)["end"]).otherwise(F.lit(0))
+            begin = F.when(k > 0, at(F.col("found.spans"), k - 1)["end"]).otherwise(F.lit(0))
             return F.slice(lines, begin + 1, span["start"] - begin)
 
-        gaps = F.transform("_spans", gap)
-        end = F.element_at("_spans", -1)["end"]
+        gaps = F.transform("found.spans", gap)
+        end = F.element_at("found.spans", -1)["end"]
         return F.concat(F.flatten(gaps), F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0))))
 
-    removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    removed = F.aggregate("found.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     columns = [c for c in docs.columns if c not in (text, "n_lines", "n_removed", "n_spans")]
     return joined.select(
-        *columns,
-        F.when(F.col("_spans").isNull(), F.col(text))
-        .otherwise(F.array_join(let(_lines(text), kept), "\n")).alias(text),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("bigint").alias("n_lines"),
+        *[F.col(f"row.`{c}`") for c in columns],
+        F.when(F.col("found.spans").isNull(), F.col(given))
+        .otherwise(F.array_join(let(_lines(given), kept), "\n")).alias(text),
+        F.when(F.col(given).isNull(), 0).otherwise(F.size(_lines(given))).cast("bigint").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce(F.when(F.col("_spans").isNotNull(), F.size("_spans")), F.lit(0)).cast("bigint").alias("n_spans"),
+        F.coalesce(F.when(F.col("found.spans").isNotNull(), F.size("found.spans")), F.lit(0)).cast("bigint").alias("n_spans"),
     )

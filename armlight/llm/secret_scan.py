@@ -7,7 +7,7 @@ reported if complementary parts lie within ``SCOPE`` code points of it in the sa
 Candidates are joined with parts by text and interval: each part is in one bin of ``SCOPE`` code points, each candidate
 asks the bins that its scope touches. A bin holds at most ``SCOPE`` parts, so a text full of secrets is no hot key.
 
-Equal texts are scanned once. Everything is built from DataFrame functions: the text between two matches is what a
+Equal texts share their spans. Everything is built from DataFrame functions: the text between two matches is what a
 split by the pattern leaves, so positions are sums of lengths.
 """
 
@@ -28,7 +28,11 @@ BASE = {
 WEAK = {
     "key": r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}",
     "user": r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]+""",
-    "endpoint": r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]*://[A-Za-z0-9_.:@-]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]+)",
+    # runs are taken whole and start nowhere else, so no match is tried twice and nothing recurses
+    "endpoint": (
+        r"(?:(?<![A-Za-z0-9+])[a-z][a-z0-9+]*+://[A-Za-z0-9_.:@-]+"
+        r"|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*+:[0-9]+)"
+    ),
 }
 KINDS = [*BASE, *WEAK]
 # for each weak kind the sets of kinds of which one part each must be near
@@ -114,20 +118,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         linked(parts).groupBy("text_key")
         .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("_spans"))
     )
-    spans = stage(spans, "credential-spans").withColumnRenamed("text_key", "_key")
+    spans = stage(spans, "credential-spans")
     new = ["spans", "base_spans", *(f"n_{k}" for k in BASE)]
     kept = docs.select(*[c for c in docs.columns if c not in new])
-    joined = kept.withColumn("_text_key", F.unhex(F.sha2(whole_text(text), 256))).join(
-        spans, F.col("_text_key") == F.col("_key"), "left"
-    )
-    found = F.coalesce("_spans", F.array().cast(spans.schema["_spans"].dataType))
+    # columns are named through the two sides, so those of ``docs`` may have any names
+    here = F.unhex(F.sha2(whole_text(f"row.`{text}`"), 256)) == F.col("found.text_key")
+    joined = kept.alias("row").join(spans.alias("found"), here, "left")
+    found = F.coalesce("found._spans", F.array().cast(spans.schema["_spans"].dataType))
     plain = F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.filter(plain, lambda s: s["kind"].isin(list(BASE)))
 
     def count(kind):
         return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return joined.select(*kept.columns, plain.alias("spans"), base.alias("base_spans"), *map(count, BASE))
+    return joined.select("row.*", plain.alias("spans"), base.alias("base_spans"), *map(count, BASE))
 
 
 def span_text(spans):

@@ -22,7 +22,7 @@ def all_spans(text):
             found.append(("key", m.start(), m.end()))
     for m in re.finditer(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]+""", text):
         found.append(("user", m.start(), m.end()))
-    for m in re.finditer(r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]*://[A-Za-z0-9_.:@-]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]+)", text):
+    for m in re.finditer(r"(?:(?<![A-Za-z0-9+])[a-z][a-z0-9+]*://[A-Za-z0-9_.:@-]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]+\.[A-Za-z0-9-][A-Za-z0-9.-]*:[0-9]+)", text):
         found.append(("endpoint", m.start(), m.end()))
     kept = []
     for kind, start, end in found:
