@@ -107,6 +107,7 @@ class Encoder:
                 self.arcs.setdefault(symbols[:end], -1)
         # the same without the word end, for tokens that end a word
         self.final = {t.removesuffix(WORD_END): i for t, i in vocab.items() if t.endswith(WORD_END) and t != WORD_END}
+        self.longest_final = max(map(len, self.final), default=0)
         self.symbols = byte_symbols()
         self.cache_limit = cache_limit
         self.words: dict[str, bytes] = {}
@@ -145,7 +146,7 @@ class Encoder:
             if path and not known.get(path[-1] << 20 | token) and not has_arc(path[-1], token):
                 continue
             path.append(token)
-            last = final.get(word[stop:])
+            last = final.get(word[stop:]) if end - stop <= self.longest_final else None
             if last is not None and has_arc(token, last):
                 path.append(last)
                 return array("H", path).tobytes()

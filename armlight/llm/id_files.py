@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlight.llm.batches import list_array, slices, utf8
-from armlight.llm.terms import WHITE
+from armlight.llm.batches import list_array, slices
+from armlight.llm.pieces import PieceCache, encode_column
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
@@ -59,35 +59,16 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return out
 
 
-def _byte_kinds():
-    kinds = np.zeros(256, np.uint8)
-    kinds[33:127] = _MARK
-    kinds[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
-    kinds[48:58] = _DIGIT
-    kinds[WHITE] = _WHITE
-    return kinds
-
-
-_MARK, _LETTER, _DIGIT, _WHITE = 1, 2, 3, 4
-_KINDS = _byte_kinds()
-# whether a piece may start at a byte of the second kind behind one of the first
-_CUTS = np.zeros((5, 5), bool)
-_CUTS[[_MARK, _LETTER, _DIGIT], _WHITE] = True
-_CUTS[_LETTER, [_MARK, _DIGIT]] = True
-_CUTS[_DIGIT, [_MARK, _LETTER]] = True
-
-
 class LibraryEncoder:
     """The tokenizers library over columns of texts, each distinct piece encoded once while it is cached.
 
     The usual byte-level pattern matches white space only at the start of a match, letters and digits apart, and a mark
-    before a letter only as a contraction. So a text may be cut before white space that follows a visible character,
-    behind a single line break or tab between such characters, and where letters or digits end, without changing its
-    ids. Tokenizers with another pattern get whole texts; where a special token occurs, only white space cuts. The file
-    is read on the driver; workers get its content.
+    before a letter only as a contraction, so texts may be cut into ``pieces`` without changing their ids; tokenizers
+    with another pattern get whole texts, unless ``by_pieces`` says that theirs splits alike. The file is read on the
+    driver; workers get its content.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, by_pieces: bool | None = None):
         with open(vocabulary, encoding="utf-8") as file:
             self.content = file.read()
         given = json.loads(self.content)
@@ -101,11 +82,13 @@ class LibraryEncoder:
             and split.get("use_regex", True)
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
         )
-        self.tokenizer, self.recent, self.older = None, {}, {}
+        if by_pieces is not None:
+            self.by_pieces = by_pieces
+        self.tokenizer, self.cache = None, PieceCache(CACHED_PIECES)
         self.size = self._library().get_vocab_size()
 
     def __getstate__(self):
-        return {**self.__dict__, "tokenizer": None, "recent": {}, "older": {}}
+        return {**self.__dict__, "tokenizer": None, "cache": PieceCache(CACHED_PIECES)}
 
     def _library(self):
         if self.tokenizer is None:
@@ -118,56 +101,13 @@ class LibraryEncoder:
             self.tokenizer.no_padding()
         return self.tokenizer
 
-    def _piece_starts(self, content, offsets):
-        kinds = _KINDS[content]
-        # the second byte of U+00C0 to U+00FF ends a letter, but for the signs of times and division
-        kinds[1:][(content[:-1] == 0xC3) & (content[1:] != 0x97) & (content[1:] != 0xB7)] = _LETTER
-        starts = np.zeros(len(content), bool)
-        if any(t in content.tobytes() for t in self.special):
-            starts[1:] = (kinds[1:] == _WHITE) & (kinds[:-1] > 0) & (kinds[:-1] < _WHITE)
-        else:
-            starts[1:] = _CUTS[kinds[:-1], kinds[1:]]
-            visible = (kinds > 0) & (kinds < _WHITE)
-            starts[2:] |= visible[2:] & (kinds[1:-1] == _WHITE) & (content[1:-1] != 32) & visible[:-2]
-        starts[offsets[:-1][np.diff(offsets) > 0]] = True
-        return np.flatnonzero(starts)
-
-    def _encoded(self, pieces):
-        """The ids of each of the distinct ``pieces`` as bytes; pieces met lately are kept, the others drop out."""
-        if len(self.recent) > CACHED_PIECES:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        new = []
-        for piece in pieces:
-            if piece not in recent:
-                if piece in older:
-                    recent[piece] = older[piece]
-                else:
-                    new.append(piece)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for piece, encoding in zip(some, self._library().encode_batch_fast(some, add_special_tokens=False)):
-                recent[piece] = array("I", encoding.ids).tobytes()
-        return [recent[p] for p in pieces]
+    def _new(self, pieces):
+        found = self._library().encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
-        content, offsets = utf8(column)
-        if not len(content):
-            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        starts = self._piece_starts(content, offsets) if self.by_pieces else offsets[:-1][np.diff(offsets) > 0]
-        bounds = np.append(starts, len(content)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(content))])
-        coded = pieces.dictionary_encode()
-        which = coded.indices.to_numpy()
-        found = self._encoded(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths) + np.arange(ends[-1])
-        before = np.append(0, ends)[np.searchsorted(starts, offsets)]
-        return flat[at], np.diff(before)
+        return encode_column(column, self.cache, self._new, "<u4", self.special, whole=not self.by_pieces)
 
 
 def _blocks(encoder, batches):

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armlight.llm.batches import slices
-from armlight.llm.tokens import shared_encoder
+from armlight.llm.id_files import LibraryEncoder
 from armlight.sources.files import stage
 
 SIZE = 2048
 DIMENSIONS, BITS = 3, 12
+SLICE = 4 << 20
 END_ID = 1
 
 
@@ -75,17 +76,21 @@ def curve_keys(ids: np.ndarray, starts: np.ndarray, signs: np.ndarray) -> np.nda
 
 def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, curve, doc_tokens and ids (binary, two bytes each, the end id last) of each document."""
-    encoder = shared_encoder(docs.sparkSession, vocabulary, cache_limit=450_000)
+    # the word vocabularies drop white space and match letters, digits and marks apart, so they may be cut into pieces
+    encoder = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(vocabulary, by_pieces=True))
 
     def run(batches):
         signs = hashed_signs(1 << 16)
-        end = END_ID.to_bytes(2, "little")
-        for part in slices(batches, "text"):
-            found = [encoder.value.encode(t) + end for t in part["text"].to_pylist()]
-            lengths = np.array([len(f) // 2 for f in found], np.int64)
-            keys = curve_keys(np.frombuffer(b"".join(found), "<u2"), np.cumsum(lengths) - lengths, signs)
-            columns = [part["doc_id"], pa.array(keys), pa.array(lengths), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "curve", "doc_tokens", "ids"])
+        for part in slices(batches, "text", SLICE):
+            ids, sizes = encoder.value.encode(part["text"])
+            ids = ids.astype("<u2")
+            ids = np.insert(ids, np.cumsum(sizes), END_ID)
+            lengths = sizes + 1
+            ends = np.cumsum(lengths)
+            keys = curve_keys(ids, ends - lengths, signs)
+            offsets = np.append(0, 2 * ends)
+            held = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(keys), pa.array(lengths), held], ["doc_id", "curve", "doc_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [T.StructField("curve", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
