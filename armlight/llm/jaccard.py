@@ -2,14 +2,18 @@
 
 Shingles are hashed into ``GROUPS`` groups; the counts of a document per group are its point. Two documents share at
 most the sum of the smaller counts, and a node of an R-tree over points shares at most that with the node's upper
-corner, so whole subtrees are skipped. Surviving pairs are verified on the sets.
-
-So that a tree never covers the corpus, documents are first brought together by prefix: of the sets, ordered by hash,
-two documents this similar share one of the first ``n - ceil(0.8 n) + 1`` shingles. Only shingles in more than one
-prefix form blocks. Then, exactly:
-
-1. Each member of a block is compared with the block's smallest or largest id (by the shingle's parity): linear in the
-   block, and enough to connect copies. Links give labels.
+corner, so whole subtrees are skipped. Surviving pairs are verified on the sets of their whole texts.
+
+So that a tree never covers the corpus, documents are first brought together by prefix: of the sets, in one order for
+all documents, two documents this similar share one of the first ``n - ceil(0.8 n) + 1`` shingles. The order is rarest
+first, by a count sketch of all shingles of all documents (``CELLS`` counters whatever the data), then by hash. What the
+sketch mixes up costs time only: the result is the same in any order. Documents of equal sets stand for one another.
+Only shingles in more than one prefix form blocks, and two members of a block meet only if what follows the shingle in
+both sets leaves room for enough shared ones. Then, exactly:
+
+1. Each member of a block is paired with the block's smallest or largest id (by the shingle's parity): linear in the
+   block, and enough to connect copies. Pairs that the points allow are verified, each document's best pair first and
+   the others only where labels still differ. Links give labels.
 2. Blocks that still hold different labels get R-trees, in cells of at most ``2 * CELL`` members: a larger block is dealt
    into parts, and each two parts meet in one cell. Pairs of one label are skipped, since no link between them changes a
    component; all others are tested, so no link between components is lost.
@@ -18,15 +22,15 @@ prefix form blocks. Then, exactly:
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlight.llm.batches import slices, utf8
+from armlight.llm.batches import list_array, slices, utf8
 from armlight.llm.components import smallest_labels
 from armlight.llm.narrowing import keep_repeated, rows_with
+from armlight.llm.scratch import Scratch
 from armlight.llm.terms import mix, word_hashes
-from armlight.sources.files import stage
 
 WORDS = 5
 # fixed: two documents link when 100 * shared >= 80 * union
@@ -34,14 +38,15 @@ SHARE, WHOLE = 80, 100
 GROUPS = 256
 CELL, LEAF = 1_500, 64
 SLICE = 2 << 20
-_STORED = 5  # bytes of a hash that are kept for verification
+CELLS, SKETCH_PARTS = 1 << 20, 64
+# a cell of the sketch is hot above this count and four times the mean: its shingles are not looked up by one task
+HOT = 100_000
+# members that are verified against one copy of their center's text
+FAN = 500
 
 
-def shingle_sets(content: np.ndarray, offsets: np.ndarray):
-    """(shingle hash, text number) of the distinct shingles, sorted by text and hash.
-
-    A text of fewer than five words is one shingle, one without words has none.
-    """
+def _occurrences(content: np.ndarray, offsets: np.ndarray):
+    """(shingle hash, text number) of the shingles of each text, repeated ones too, in order."""
     n = len(offsets) - 1
     words, text = word_hashes(content, offsets)
     if not len(words):
@@ -56,7 +61,17 @@ def shingle_sets(content: np.ndarray, offsets: np.ndarray):
     found = length.astype(np.uint64)
     for k in range(WORDS):
         found = mix(found * np.uint64(0x9E3779B97F4A7C15) + np.where(k < length, padded[begins + k], np.uint64(0)))
-    owner = text[begins]
+    return found, text[begins]
+
+
+def shingle_sets(content: np.ndarray, offsets: np.ndarray):
+    """(shingle hash, text number) of the distinct shingles, sorted by text and hash.
+
+    A text of fewer than five words is one shingle, one without words has none.
+    """
+    found, owner = _occurrences(content, offsets)
+    if not len(found):
+        return found, owner
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
@@ -69,45 +84,78 @@ def least_shared(total):
     return -(-SHARE * total // (SHARE + WHOLE))
 
 
-def _prefix_rows(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for part in slices(batches, "text", SLICE):
-            found, owner = shingle_sets(*utf8(part["text"]))
-            size = np.bincount(owner, minlength=len(part))
-            place = np.arange(len(found)) - (np.cumsum(size) - size)[owner]
-            held = place <= size[owner] - -(-SHARE * size[owner] // WHOLE)
-            ids = part["doc_id"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[held].view(np.int64)), pa.array(ids[owner[held]].astype(np.int64))], ["shingle", "id"]
-            )
-
-    return docs.mapInArrow(run, "shingle bigint, id bigint")
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """(shingle, id) of the shingles that are in the prefix of more than one row."""
-    return stage(keep_repeated(_prefix_rows(docs), "shingle"), "jaccard-blocks")
+def sketch(rows: DataFrame) -> np.ndarray:
+    """Counts of all shingles of all texts in ``CELLS`` cells, summed per task and then per part of the table."""
 
+    def count(batches):
+        table = np.zeros(CELLS, np.int64)
+        for part in slices(batches, "text", SLICE):
+            found, _ = _occurrences(*utf8(part["text"]))
+            table += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+        pieces = [p.astype("<u4").tobytes() for p in np.split(np.minimum(table, 0xFFFFFFFF), SKETCH_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS)), pa.array(pieces, pa.binary())], ["part", "counts"])
 
-def _set_rows(docs: DataFrame) -> DataFrame:
-    """(id, size, point, shingles): counts per group as bytes, 255 standing for any more, hashes of ``_STORED`` bytes."""
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"]
+        )
+
+    schema = "part bigint, counts binary"
+    table = np.zeros((SKETCH_PARTS, CELLS // SKETCH_PARTS), np.int64)
+    for part, counts in rows.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+        table[part] = np.frombuffer(counts, np.int64)
+    return table.ravel()
+
+
+def _signatures(rows: DataFrame) -> DataFrame:
+    """(id, size, one, two, point, prefix, cold) of every row: set size, two hashes of the set, counts per group as bytes
+    with 255 standing for any more, the prefix rarest first, and how many of it are not in hot cells."""
+    counts = sketch(rows)
+    classes = np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
+    hot = counts > max(HOT, 4 * counts.mean())
+    shared = rows.sparkSession.sparkContext.broadcast((classes, hot))
 
     def run(batches):
+        classes, hot = shared.value
         for part in slices(batches, "text", SLICE):
             found, owner = shingle_sets(*utf8(part["text"]))
             n = len(part)
             size = np.bincount(owner, minlength=n)
+            first = np.cumsum(size) - size
             cell = owner * GROUPS + (found % np.uint64(GROUPS)).astype(np.int64)
             point = np.minimum(np.bincount(cell, minlength=n * GROUPS), 255).astype(np.uint8).reshape(n, GROUPS)
-            packed = (found >> np.uint64(64 - 8 * _STORED)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_STORED]
-            ends = np.cumsum(size)
-            sets = [packed[e - s : e].tobytes() for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
+            sums = []
+            for seed in (1, 2):
+                running = np.append(np.uint64(0), np.cumsum(mix(found + np.uint64(seed)), dtype=np.uint64))
+                sums.append((running[first + size] - running[first]).view(np.int64))
+            at = (found >> np.uint64(44)).astype(np.int64)
+            # found is sorted by text and hash, so a stable sort by text and class is rarest first, then by hash
+            order = np.argsort(owner * 256 + classes[at], kind="stable")
+            place = np.arange(len(found)) - first[owner]
+            order = order[place <= size[owner] - -(-SHARE * size[owner] // WHOLE)]
+            cold = np.bincount(owner[order], ~hot[at[order]], n).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(size), pa.array([p.tobytes() for p in point], pa.binary()), pa.array(sets, pa.binary())],
-                ["id", "size", "point", "shingles"],
+                [
+                    part["doc_id"], pa.array(size), pa.array(sums[0]), pa.array(sums[1]),
+                    pa.array([p.tobytes() for p in point], pa.binary()),
+                    list_array(found[order].view(np.int64), np.bincount(owner[order], minlength=n)), pa.array(cold),
+                ],
+                ["id", "size", "one", "two", "point", "prefix", "cold"],
             )
 
-    return docs.mapInArrow(run, "id bigint, size bigint, point binary, shingles binary")
+    return rows.mapInArrow(
+        run, "id bigint, size bigint, one bigint, two bigint, point binary, prefix array<bigint>, cold bigint"
+    )
+
+
+def _meets(size_a, place_a, size_b, place_b):
+    """Whether sets that have their first common shingle at these places may link."""
+    room = F.least(size_a - place_a, size_b - place_b)
+    return (SHARE + WHOLE) * room >= SHARE * (size_a + size_b)
 
 
 def _points(cells) -> np.ndarray:
@@ -116,45 +164,66 @@ def _points(cells) -> np.ndarray:
     return np.where(points == 255, np.uint16(65535), points) if len(points) and points.max() == 255 else points
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // _STORED, 8), np.uint8)
-    wide[:, :_STORED] = np.frombuffer(packed, np.uint8).reshape(-1, _STORED)
-    return wide.view("<u8").ravel()
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: first by the bound of their points, then by their sets."""
+def bounded(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, n) that may link by the bound of their points."""
 
-    def bounded(batches):
+    def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             total = batch["size_a"].to_numpy() + batch["size_b"].to_numpy()
             a, b = (_points(batch[c].to_pylist()) for c in ("point_a", "point_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(a, b).sum(1, dtype=np.int64) >= least_shared(total)))
-
-    def exact(batches):
-        for part in slices(batches, "set_a"):
-            keep, last, other = [], None, None
-            for a, b in zip(part["set_a"], part["set_b"], strict=True):
-                one, key = _unpacked(a.as_py()), b.as_py()
-                if key != last:
-                    last, other = key, _unpacked(key)
-                shared = len(np.intersect1d(one, other))
-                keep.append(shared >= least_shared(len(one) + len(other)))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    narrow = sets.select("id", "size", "point")
-    a = narrow.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("point").alias("point_a"))
-    b = narrow.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("point").alias("point_b"))
-    near = pairs.join(a, "a").join(b, "b").where(
-        (WHOLE * F.least("size_a", "size_b") >= SHARE * F.greatest("size_a", "size_b"))
+            yield batch.select(["a", "b", "n"]).filter(pa.array(np.minimum(a, b).sum(1, dtype=np.int64) >= least_shared(total)))
+
+    a = signatures.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("point").alias("point_a"))
+    b = signatures.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("point").alias("point_b"))
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a bigint, b bigint, n bigint")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The (a, b) of ``pairs`` that link, by the sets of their texts.
+
+    Each b's text meets its a's in a task that holds one a at a time; of an a with more than ``FAN`` pairs there are
+    several copies.
+    """
+    fan = F.ceil(F.col("n") / FAN).cast("int")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    centers = counts.withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1)))
+    placed = pairs.select("a", "b").join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), fan).cast("int"))
+    asked = centers.select("a", "part", F.col("a").alias("doc_id"), F.lit(0).alias("role")).union(
+        placed.select("a", "part", F.col("b").alias("doc_id"), F.lit(1).alias("role"))
     )
-    near = stage(near.mapInArrow(bounded, "a bigint, b bigint"), "jaccard-near")
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    found = near.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a bigint, b bigint")
-    return stage(found, "jaccard-links")
+    asked = scratch.keep(asked, "jaccard-asked")
+
+    def run(batches):
+        own, center, center_part = [], None, None
+        for part in slices(batches, "text", SLICE):
+            found, owner = shingle_sets(*utf8(part["text"]))
+            ends = np.searchsorted(owner, np.arange(len(part) + 1))
+            a_of, part_of, role, ids = (part[c].to_pylist() for c in ("a", "part", "role", "doc_id"))
+            links = []
+            for k in range(len(part)):
+                mine = found[ends[k] : ends[k + 1]]
+                if (a_of[k], part_of[k]) != (center, center_part):
+                    center, center_part, own = a_of[k], part_of[k], []
+                if role[k] == 0:
+                    own.append(mine.copy())
+                    continue
+                for other in own:
+                    if WHOLE * min(len(mine), len(other)) >= SHARE * max(len(mine), len(other)):
+                        at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+                        if (other[at] == mine).sum() >= least_shared(len(mine) + len(other)):
+                            links.append((center, ids[k]))
+                            break
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"]
+            )
+
+    met = rows_with(rows, asked, "doc_id").select("a", "part", "role", "doc_id", "text").repartition("a", "part")
+    found = met.sortWithinPartitions("a", "part", "role").mapInArrow(run, "a bigint, b bigint")
+    links = scratch.keep(found, "jaccard-links")
+    scratch.drop(asked)
+    return links
 
 
 class CountTree:
@@ -214,46 +283,113 @@ def _cell_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     return found.drop_duplicates()
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, label) of every document that links with another: the smallest id it reaches.
-
-    Words are case-folded for A to Z only and split at ASCII white space. Null and empty texts, and rows without an id,
-    link with nothing; rows that repeat an id count as one document with all their texts.
-    """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    met = blocks(rows)
-    ends = met.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    ends = stage(ends.select("shingle", F.when(F.pmod("shingle", F.lit(2)) == 0, F.col("low")).otherwise(F.col("high")).alias("center")), "jaccard-centers")
-    star = met.join(ends, "shingle").where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
-    star = stage(star.distinct(), "jaccard-star")
-    wanted = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = stage(_set_rows(rows_with(rows, stage(wanted, "jaccard-wanted"), "doc_id")), "jaccard-sets")
-    links = verified(star, sets)
-    labels = smallest_labels(links)
-    # blocks that still hold several labels; of blocks with the same members one is enough
-    marked = met.distinct().join(labels, "id", "left").select("shingle", "id", F.coalesce("label", "id").alias("label"))
-    marked = stage(marked, "jaccard-marked")
+def _blocks(signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """(shingle, id, size, place) of the shingles that are in the prefix of more than one representative."""
+    rows = signatures.select("id", "size", "cold", F.posexplode("prefix").alias("place", "shingle"))
+    spot = (F.col("size") * (1 << 31) + F.col("place")).alias("spot")
+    cold = keep_repeated(rows.where("place < cold").select("shingle", "id", spot), "shingle")
+    # hot cells hold a frequent shingle; a single one among them forms a block of one, which pairs nothing
+    met = scratch.keep(cold.union(rows.where("place >= cold").select("shingle", "id", spot)), "jaccard-blocks")
+    size = F.shiftright("spot", 31)
+    return met.select("shingle", "id", size.alias("size"), (F.col("spot") - size * (1 << 31)).alias("place"))
+
+
+def _star(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, n): each member with its block's center, and in how many blocks."""
+    member = F.struct("id", "size", "place")
+    ends = met.groupBy("shingle").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.id <> high.id")
+    even = F.pmod("shingle", F.lit(2)) == 0
+    centers = scratch.keep(ends.select("shingle", F.when(even, F.col("low")).otherwise(F.col("high")).alias("center")), "jaccard-centers")
+    star = met.join(centers, "shingle").where(
+        (F.col("id") != F.col("center.id")) & _meets(F.col("size"), F.col("place"), F.col("center.size"), F.col("center.place"))
+    )
+    star = star.groupBy(F.col("center.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    star = scratch.keep(star, "jaccard-star")
+    scratch.drop(centers)
+    return star
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose labels differ."""
+    a = labels.select(F.col("id").alias("a"), F.col("label").alias("label_a"))
+    b = labels.select(F.col("id").alias("b"), F.col("label").alias("label_b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(
+        F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    ).select(*pairs.columns)
+
+
+def _cells(met: DataFrame, labels: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b, n) of the blocks that still hold several labels."""
+    marked = met.join(labels, "id", "left")
+    marked = scratch.keep(marked.select("shingle", "id", F.coalesce("label", "id").alias("label")), "jaccard-marked")
+    # of blocks with the same members one is enough
     open_blocks = marked.groupBy("shingle").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"),
     ).where("low <> high").groupBy("n", "members").agg(F.min("shingle").alias("shingle"))
+    open_blocks = scratch.keep(open_blocks.select("shingle", "n"), "jaccard-open")
     parts = F.ceil(F.col("n") / CELL).cast("int")
-    dealt = marked.join(stage(open_blocks.select("shingle", "n"), "jaccard-open"), "shingle").select(
+    dealt = marked.join(open_blocks, "shingle").select(
         "shingle", "id", "label", F.pmod(F.xxhash64("id", "shingle"), parts).cast("int").alias("part"), parts.alias("parts")
     )
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "shingle", "id", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
-    cells = cells.join(sets.select("id", "size", "point").distinct(), "id")
+    cells = cells.join(signatures.select("id", "size", "point"), "id")
     pairs = cells.groupBy("shingle", "i", "j").applyInPandas(_cell_pairs, "a bigint, b bigint")
-    more = verified(stage(pairs.distinct(), "jaccard-pairs"), sets)
-    if more.isEmpty():
-        return labels
-    return smallest_labels(links.union(more))
+    pairs = scratch.keep(pairs.distinct(), "jaccard-pairs")
+    scratch.drop(marked, open_blocks)
+    return pairs
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, label) of every row with an id; the label is the smallest id that links reach, itself included.
+
+    Words are case-folded for A to Z only and split at ASCII white space. Null and empty texts link with nothing; rows
+    that repeat an id count as one document with all their texts.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    every = scratch.keep(_signatures(rows), "jaccard-signatures")
+    # the smallest id of a set stands for all rows of that set
+    same = ["size", "one", "two"]
+    heads = scratch.keep(every.where("size > 0").groupBy(*same).agg(F.min("id").alias("head")), "jaccard-heads")
+    named = scratch.keep(every.select("id", *same).join(heads, same, "left").select("id", "size", "head"), "jaccard-named")
+    chosen = every.join(heads.withColumnRenamed("head", "id"), [*same, "id"], "left_semi").dropDuplicates([*same, "id"])
+    signatures = scratch.keep(chosen, "jaccard-chosen")
+    scratch.drop(every, heads)
+    met = _blocks(signatures, scratch)
+    star = _star(met, scratch)
+    near = scratch.keep(bounded(star, signatures), "jaccard-near")
+    best = near.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    links = verified(scratch.keep(best, "jaccard-best"), rows, scratch)
+    labels = smallest_labels(links)
+    others = scratch.keep(_apart(near, labels).select("a", "b"), "jaccard-others")
+    if not others.isEmpty():
+        links = links.union(verified(others, rows, scratch))
+        labels = smallest_labels(links)
+    scratch.drop(star, near, others)
+    pairs = _cells(met, labels, signatures, scratch)
+    if not pairs.isEmpty():
+        links = links.union(verified(pairs, rows, scratch))
+    # an id with several texts may have several heads, which its rows tie together
+    ties = named.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    several = named.groupBy("id").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low <> high")
+    ties = ties.join(several, F.col("a") == F.col("id"), "left_semi")
+    labels = smallest_labels(links.union(ties))
+    scratch.drop(met, signatures, pairs)
+    found = named.join(labels.withColumnRenamed("id", "head"), "head", "left")
+    label = F.min(F.coalesce("label", "head", "id")).over(Window.partitionBy("id"))
+    return found.select("id", F.col("size").alias("n_shingles"), label.alias("label"))
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, label) of every id; see ``grouped``."""
+    return grouped(docs, doc_id, text).select("id", "label").dropDuplicates(["id"])
 
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with component_id, the smallest id reachable by links, itself included."""
+    """``docs`` with component_id, the smallest id reachable by links, itself included; null without an id."""
     found = components(docs, doc_id, text)
     rows = docs.drop("component_id")
     return rows.alias("row").join(found.alias("found"), F.col(f"row.{doc_id}") == F.col("found.id"), "left").select(

@@ -76,10 +76,9 @@ def op10_toxicity(spark, sf):
 
 def op7_jaccard_join(spark, sf):
     docs = documents(spark, sf)
-    found = jaccard.components(docs).withColumnRenamed("id", "doc_id")
-    return jaccard.shingle_counts(docs).join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
-    )
+    found = jaccard.grouped(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("label").alias("component_id"))
+    unnamed = jaccard.shingle_counts(docs.where("doc_id is null"))
+    return found.union(unnamed.withColumn("component_id", F.lit(None).cast("bigint")))
 
 
 def op8_line_dedup(spark, sf):
