@@ -226,11 +226,20 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
+def _folded(points: np.ndarray) -> np.ndarray:
+    """Points of four groups summed to one: their minima bound more loosely, in a quarter of the time."""
+    sums = points.reshape(len(points), GROUPS // 4, 4).sum(2, dtype=np.int64)
+    return sums.astype(np.uint16) if points.dtype == np.uint8 else sums
+
+
 class CountTree:
     """An R-tree over count vectors, packed by halving along the widest coordinate."""
 
     def __init__(self, points, sizes, labels):
         self.points, self.sizes, self.labels = points, sizes, labels
+        self.folded = _folded(points)
+        # uncut counts are at most 254 in each of 256 groups, so their sums fit 16 bits
+        self.wide = np.uint16 if points.dtype == np.uint8 else np.int64
         self.nodes = []  # (upper corner, smallest size, largest size, label if it has one only, children or entries)
         self.root = self._build(np.arange(len(points)))
 
@@ -250,6 +259,7 @@ class CountTree:
     def search(self, points, sizes, labels):
         """(query, entry) of the pairs of other labels that may link; queries go down the tree together."""
         queries, entries_met, open_nodes = [], [], [(self.root, np.arange(len(points)))]
+        folded = _folded(points)
         while open_nodes:
             node, q = open_nodes.pop()
             corner, least, most, one, below, entries = self.nodes[node]
@@ -262,11 +272,13 @@ class CountTree:
                 open_nodes.extend((child, q) for child in below if len(q))
                 continue
             for some in np.array_split(q, -(-len(q) // 256)) if len(q) else ():
-                shared = np.minimum(self.points[entries][None], points[some][:, None]).sum(2, dtype=np.int64)
-                close = shared >= least_shared(sizes[some][:, None] + self.sizes[entries][None])
-                at_q, at_e = np.nonzero(close & (labels[some][:, None] != self.labels[entries][None]))
-                queries.append(some[at_q])
-                entries_met.append(entries[at_e])
+                least_of = least_shared(sizes[some][:, None] + self.sizes[entries][None])
+                loose = np.minimum(self.folded[entries][None], folded[some][:, None]).sum(2, dtype=self.wide)
+                at_q, at_e = np.nonzero((loose >= least_of) & (labels[some][:, None] != self.labels[entries][None]))
+                shared = np.minimum(self.points[entries[at_e]], points[some[at_q]]).sum(1, dtype=np.int64)
+                close = shared >= least_of[at_q, at_e]
+                queries.append(some[at_q[close]])
+                entries_met.append(entries[at_e[close]])
         return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (queries, entries_met))
 
 
