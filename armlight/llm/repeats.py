@@ -23,6 +23,7 @@ from armlight.llm.batches import slices, utf8
 from armlight.llm.columns import whole_text
 from armlight.llm.narrowing import keep_repeated, rows_with
 from armlight.llm.terms import _BASE, _BYTE_VALUES, _INVERSE, _powers, mix
+from armlight.operators.numbering import number_rows
 from armlight.sources.files import stage
 
 LENGTH, SAMPLE = 100, 32
@@ -124,15 +125,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return whole.union(single.select("id", "start", (F.col("start") + LENGTH).alias("end")))
 
 
+def _row_keys(narrow: DataFrame) -> DataFrame:
+    """(doc_id, id, text): whole ids as they are, as long as no id has several texts; else numbers in the order of ids
+    and, within one id, of the texts' hashes."""
+    kind = narrow.schema["doc_id"].dataType.typeName()
+    marked = narrow.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size"))
+    if kind in ("byte", "short", "integer", "long"):
+        several = marked.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
+        if several.isEmpty():
+            return narrow.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), "text")
+    order = ["doc_id", "mark", "size"]
+    numbers = number_rows(marked.select(*order).distinct(), order, "id", start=0).select("id", *[F.col(c).alias(f"_{c}") for c in order])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("mark") == F.col("_mark")) & (F.col("size") == F.col("_size"))
+    return stage(marked.join(numbers, same).select("doc_id", "id", "text"), "repeat-rows")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary).
 
     A byte goes if a string of ``LENGTH`` bytes around it also starts earlier: in a smaller doc_id, or further up in the
-    same document. Null and empty texts have no bytes; a null id comes before all others; rows that repeat an id and a
-    text stand at the same places, so none of them is a repeat of the other. Other columns don't matter.
+    same document. Null and empty texts have no bytes; a null id comes before all others, an id may be of
+    any type that sorts, and several texts of one id come in the order of their hashes; rows that repeat an id and a text
+    stand at the same places, so none of them is a repeat of the other. Other columns don't matter.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    keyed = narrow.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), "text")
+    whole = _row_keys(narrow)
+    keyed = whole.select("id", "text")
     spans = repeated_spans(keyed).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def run(batches):
@@ -153,7 +171,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"),
         "repeat-cut",
     ).select("id", F.col("n_bytes").alias("_bytes"), "n_removed", "n_spans", F.col("kept").alias("_kept"))
-    whole = narrow.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
+    whole = whole.withColumnRenamed("id", "_id")
     return whole.join(cut, (F.col("_id") == F.col("id")) & (F.octet_length("text") == F.col("_bytes")), "left").select(
         "doc_id",
         F.octet_length("text").cast("bigint").alias("n_bytes"),
