@@ -5,8 +5,11 @@ linear model minimises the non-negative unbiased risk (Kiryo et al., 2017)
 
     prior * E_p[loss(f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)])
 
-with the logistic loss by Adam over batches; where the second term is negative, its gradient is climbed instead. The
-class prior is the share of positives among the labelled training rows.
+with the logistic loss by Adam over batches; where the second term is negative, its gradient is climbed instead.
+
+The class prior is estimated from the same two samples (best bin estimation; Garg et al., 2021): a model of half of them
+tells positives from unlabelled rows, and on the other half the least ratio of the unlabelled to the positive share above
+a score bounds the prior, at the score where that bound with its sampling error is lowest. Negative labels are not read.
 
 Features of a text are shares of hashed triples of character classes (upper, lower, digit, white space, each mark) and
 a few ratios; they are counted over the whole text. The fit sees at most ``BOUND`` positives and twice as many
@@ -74,8 +77,25 @@ class LinearScore:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -30, 30).astype(np.float64)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, batch: int = 512):
-    """A :class:`LinearScore`; without positives or unlabelled rows it scores every text with the prior."""
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, margin: float = 0.01) -> float:
+    """The share of positives among the unlabelled rows; 0.5 without two rows of both kinds."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    model = fit_nnpu(positive[::2], unlabelled[::2], 0.5, apart=True)
+    rest = (positive[1::2], unlabelled[1::2])
+    scores = [np.concatenate([model.score(x[i : i + 1024].astype(np.float32)) for i in range(0, len(x), 1024)]) for x in rest]
+    scores = [np.sort(x) for x in scores]
+    cuts = np.unique(np.concatenate(scores))
+    above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in scores)
+    error = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in scores)
+    cuts = np.flatnonzero(above_p > 0)
+    best = cuts[np.argmin((above_u[cuts] + (1 + margin) * error) / above_p[cuts])]
+    return float(min(1.0, above_u[best] / above_p[best]))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, batch: int = 512, apart: bool = False):
+    """A :class:`LinearScore`; without positives or unlabelled rows it scores every text with the prior. With ``apart``
+    it tells positives from unlabelled rows instead."""
     prior = min(max(prior, 0.01), 0.99)
     n = len(positive) + len(unlabelled)
     mean, scale = np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32)
@@ -104,6 +124,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
                 bad = (bu.T @ fu) / len(bu) - prior * (bp.T @ fp) / len(bp)
                 risk = -np.log1p(-np.minimum(fu, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(fp, 1 - 1e-9)).mean()
                 slope = good + bad if risk >= 0 else -bad
+                if apart:
+                    slope = (bp.T @ (fp - 1)) / len(bp) + (bu.T @ fu) / len(bu)
                 slope[:-1] += decay * weights[:-1]
                 step += 1
                 m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
@@ -129,7 +151,6 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> LinearScore:
     """Fits on documents outside the held-out fold; see the module's text for the bound."""
     learn = fold("doc_id", FOLDS) != HELD_OUT
     known = labels.where(learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg("quality")).first()[0]
     ids = docs.select("doc_id").where(learn & F.col("doc_id").isNotNull()).distinct()
     trusted = sample(known.where("quality = 1").join(ids, "doc_id"), bound, "positive").select("doc_id", F.lit(1).alias("side"))
     free = ids.join(labels.select("doc_id"), "doc_id", "left_anti")
@@ -137,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> LinearScore:
     # at most 3 * bound ids
     chosen = docs.select("doc_id", "text").join(F.broadcast(trusted.unionByName(unlabelled)), "doc_id")
     features, side = _features_of(chosen.select("text", "side"), "side")
-    return fit_nnpu(features[side == 1], features[side == 0], 0.5 if share is None else float(share))
+    positive, web = features[side == 1], features[side == 0]
+    return fit_nnpu(positive, web, class_prior(positive, web))
 
 
 def score(docs: DataFrame, model: LinearScore, name: str = "score") -> DataFrame:

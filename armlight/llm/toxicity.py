@@ -7,7 +7,8 @@ A text is the set of its hashed words. Its score is that of
 so a pair of terms can weigh more, or less, than both alone. The model is fitted by Adagrad on the logistic loss, on at
 most ``BOUND`` labelled rows of each class, weighted back to the classes' shares. Only terms of at least ``LEAST`` of
 these rows whose shares in the two classes differ by ``DEVIATIONS`` standard errors have weights, so a small sample does
-not learn chance words. The driver holds the sample's term numbers, bounded by ``BOUND`` and ``TERMS`` per row. Scoring is
+not learn chance words. Terms that matter only together have weights too: all pairs of terms are tested for whether one
+moves the other's difference between the classes, by ``PAIR_DEVIATIONS`` standard errors, as there are many pairs. The driver holds the sample's term numbers, bounded by ``BOUND`` and ``TERMS`` per row. Scoring is
 one pass over all rows and whole texts.
 """
 
@@ -26,6 +27,10 @@ TERMS = 1 << 18
 FACTORS = 4
 LEAST = 4
 DEVIATIONS = 3.0
+PAIR_DEVIATIONS = 6.0
+# a test of two terms needs so many rows of each class with and without the first
+STRATUM = 20
+PAIR_BLOCK = 1_024
 SLICE = 2 << 20
 FOLDS, HELD_OUT = 5, 0
 
@@ -56,6 +61,54 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(text[held], slots[held], n)[0], -30, 30)))
 
 
+def paired_terms(rows, toxic, terms):
+    """Those of ``terms`` that interact with another one: the difference of a term's share between toxic and clean rows
+    is another among rows with the other term than among rows without it."""
+    place = np.full(TERMS, -1)
+    place[terms] = np.arange(len(terms))
+    lists = [p[p >= 0] for p in (place[r] for r in rows)]
+    row = np.repeat(np.arange(len(rows)), [len(p) for p in lists])
+    column = np.concatenate([np.zeros(0, int), *lists])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    toxic = np.asarray(toxic) == 1
+    classes = toxic, ~toxic
+    totals = [np.bincount(column[c[row]], minlength=len(terms)).astype(np.float32) for c in classes]
+    sizes = [np.float32(c.sum()) for c in classes]
+
+    def block(start):
+        out = np.zeros((len(rows), min(PAIR_BLOCK, len(terms) - start)), np.float32)
+        a, b = np.searchsorted(column, [start, start + PAIR_BLOCK])
+        out[row[a:b], column[a:b] - start] = 1
+        return out
+
+    def difference(held, of):
+        """The difference of two shares and the square of its error; a smoothed share keeps the error of few rows up."""
+        of = [np.maximum(n, 1) for n in of]
+        common = (held[0] + held[1] + 1) / (of[0] + of[1] + 2)
+        return held[0] / of[0] - held[1] / of[1], common * (1 - common) * (1 / of[0] + 1 / of[1])
+
+    found = np.zeros(len(terms), bool)
+    for start in range(0, len(terms), PAIR_BLOCK):
+        left = block(start)
+        with_left = [t[start : start + left.shape[1], None] for t in totals]
+        tested = np.all([(w >= STRATUM) & (n - w >= STRATUM) for w, n in zip(with_left, sizes, strict=True)], 0)
+        if not tested.any():
+            continue
+        for other in range(0, len(terms), PAIR_BLOCK):
+            right = left if other == start else block(other)
+            both = [left[c].T @ right[c] for c in classes]
+            own = [t[None, other : other + right.shape[1]] for t in totals]
+            inside, error = difference(both, with_left)
+            outside, further = difference([o - b for o, b in zip(own, both, strict=True)], [n - w for n, w in zip(sizes, with_left, strict=True)])
+            hit = tested & (np.abs(inside - outside) >= PAIR_DEVIATIONS * np.sqrt(error + further))
+            if other == start:
+                np.fill_diagonal(hit, False)
+            found[start : start + left.shape[1]] |= hit.any(1)
+            found[other : other + right.shape[1]] |= hit.any(0)
+    return terms[found]
+
+
 def fit_machine(rows, toxic, weights, epochs=25, rate=0.1, decay=1e-4, batch=256, seed=5) -> FactorizationMachine:
     """``rows``: arrays of distinct terms; without rows of both classes the score is the share of toxic rows."""
     weights = np.asarray(weights, float)
@@ -72,6 +125,8 @@ def fit_machine(rows, toxic, weights, epochs=25, rate=0.1, decay=1e-4, batch=256
     error = np.sqrt(common * (1 - common) * (1 / n_toxic + 1 / n_clean)) + 1e-9
     apart = np.abs(in_toxic / n_toxic - in_clean / n_clean) / error
     used = np.flatnonzero((in_toxic + in_clean >= LEAST) & (apart >= DEVIATIONS))
+    # a term in fewer rows leaves too few in a stratum
+    used = np.union1d(used, paired_terms(rows, toxic, np.flatnonzero((in_toxic >= STRATUM) & (in_clean >= STRATUM))))
     machine.slot[used] = np.arange(1, len(used) + 1)
     rng = np.random.default_rng(seed)
     machine.linear = np.zeros(len(used) + 1)
