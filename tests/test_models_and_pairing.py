@@ -168,3 +168,31 @@ def test_dot_products_by_bounds(spark):
     for k in range(200):
         assert got[k] == (values[k].argmax(), pytest.approx(values[k].max(), abs=1e-12))
     assert PR.pairs_scored(a, b, "a", "b", "x", "y") < 0.25 * values.size
+
+
+def test_best_partners_over_many_cells_with_null_vectors(spark):
+    rng = np.random.default_rng(14)
+    left, right = rng.normal(size=(90, 3)).tolist(), rng.normal(size=(110, 3)).tolist()
+    right[70] = right[20]
+    left[5], right[8], right[9] = None, None, [1e9, None, 1e9]
+    a = spark.createDataFrame(list(enumerate(left)), "a bigint, x array<double>")
+    b = spark.createDataFrame(list(enumerate(right)), "b bigint, y array<double>")
+    got = {r.a: (r.b, r.score) for r in PR.best_partner(a, b, "a", "b", "x", "y", tile_rows=8).collect()}
+    assert got.pop(5) == (0, None)
+    whole = np.array([[np.nan] * 3 if v is None or None in v else v for v in right])
+    for k, (best, score) in got.items():
+        values = np.nan_to_num(whole @ left[k], nan=-np.inf)
+        assert (best, score) == (values.argmax(), pytest.approx(values.max(), abs=1e-12))
+    assert len(got) == 89
+
+
+def test_cells_send_few_copies_whatever_the_size():
+    # few left rows: every right row is sent once
+    assert PR._grid(10, 16_000, 64, 1024, 12)[0] == PR._grid(10, 960_000, 64, 1024, 12)[0] == 1
+    # as many on both sides: the copies do not grow from 16,000 to 960,000 rows
+    for n in (16_000, 160_000, 960_000):
+        of_left, of_right = PR._grid(n, n, 64, 1024, 12)
+        assert of_left + of_right <= 15 and of_left * of_right >= 48
+    # no cell holds more than its share of a side
+    of_left, of_right = PR._grid(20_000_000, 50, 64, 1024, 12)
+    assert 20_000_000 * 64 / of_left <= PR.CELL_NUMBERS and of_right == 1
