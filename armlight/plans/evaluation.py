@@ -48,6 +48,7 @@ def fit_reward_net(
     """
     spark = rows.sparkSession
     data, train, n = training_rows(rows, net.features, key)
+    train = stage(B.packed(train, len(net.features)), "packed-rows")
     optimizer, done = B.Adam(rate), 0
     if has_commits(spark, path):
         done = net_versions(spark, path).agg(F.max("version")).first()[0]

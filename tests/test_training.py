@@ -218,3 +218,28 @@ def test_rounds_at_full_width(spark, wide):
     assert log[0][2]["n_events"] == 40 and len(last.weights) == WIDE
     draws = O.thompson_rounds(tables, rounds=1, steps=2)
     assert draws[0][1]["n_events"] == 40 and len(draws[0][2]) == WIDE + 1
+
+
+def test_packed_rows_train_as_plain_ones(spark, monkeypatch):
+    """Blocks of several sizes; rows with a null, NaN or infinite value take a number but no part."""
+    rng = np.random.default_rng(21)
+    x = rng.random((700, 3))
+    x[5, 1], x[77, 0] = np.nan, np.inf
+    rows = [(k, [None, 0.5, 0.5] if k == 9 else v, float(k % 2)) for k, v in enumerate(x.tolist())]
+    plain = spark.createDataFrame(rows, "number bigint, x array<double>, y double").repartition(3)
+    net = rule_net([3, 2, 1], ["a", "b", "c"])
+    monkeypatch.setattr(B, "PACK_ROWS", 100)
+    blocks = B.packed(plain, 3).cache()
+    assert blocks.select(F.expr("sum(length(y)) / 8")).first()[0] == 697 and blocks.count() < 12
+    wanted = [B.flatten(n) for _, n, _ in B.train(plain, net, 700, 2, 2, optimizer=B.Adam(0.01))]
+    got = [B.flatten(n) for _, n, _ in B.train(blocks, net, 700, 2, 2, optimizer=B.Adam(0.01))]
+    assert np.allclose(wanted, got, atol=1e-12, rtol=0)
+
+
+def test_places_hold_for_one_epoch_and_for_many(spark):
+    numbers = np.arange(5000)
+    epochs = np.repeat([0, 4], 2500)
+    places = P.permute(numbers, 5000, epochs, 100)
+    assert (places[:2500] == P.permute(numbers[:2500], 5000, 0, 100)).all()
+    assert (places[2500:] == P.permute(numbers[2500:], 5000, 4, 100)).all()
+    assert P.permute([0, 1, 2, 4999], 1 << 40, 3, 100).max() > 1 << 32
