@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from armlight.operators.dimensions import attach_dimension, distinct_dimension, right_join_fill, with_surrogate_key
 from armlight.operators.numbering import in_batches, number_rows
+from armlight.session import fits_broadcast, sized
+from armlight.sources.files import stage
 
 
 def test_number_rows_is_dense_and_ordered(spark):
@@ -75,3 +77,33 @@ def test_surrogate_keys_follow_first_seen(spark, skewed_facts):
     pdf = skewed_facts.toPandas().sort_values("event_id")
     assert got == list(pdf["user_id"].drop_duplicates())
     assert not math.isnan(got[0])
+
+
+def small_file_of_many_rows(spark):
+    return stage(spark.range(100_000).select(F.col("id").alias("k"), F.lit(1.0).alias("v"), F.lit(2.0).alias("w")), "constant")
+
+
+def test_dimension_is_not_broadcast_by_the_size_of_its_file(spark):
+    """A file far below the broadcast limit whose rows are not."""
+    dim = small_file_of_many_rows(spark)
+    facts = spark.range(300_000).select("id", F.expr("id % 100000").alias("k"))
+    joined = attach_dimension(facts, dim, "k", "id")
+    assert joined.agg(F.count(F.lit(1)), F.sum("v")).first() == (300_000, 300_000.0)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert fits_broadcast(dim.limit(1000)) and not fits_broadcast(dim)
+    assert not fits_broadcast(spark.range(300).select(F.expr("array_repeat(1D, 2000)").alias("x")))
+
+
+def test_join_of_choices_is_sized_by_rows(spark):
+    dim = small_file_of_many_rows(spark)
+    plan = sized(dim).join(spark.range(10).toDF("k"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_hot_keys_may_be_counted_in_other_rows(spark, no_broadcast):
+    events = spark.range(3000).select("id", F.expr("if(id % 3 = 0, 0, id % 100)").alias("k"))
+    dim = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = attach_dimension(events.where("id % 2 = 0"), dim, "k", "id", hot_rows=50, counted=events)
+    rows = joined.collect()
+    assert sorted(r.id for r in rows) == list(range(0, 3000, 2)) and all(r.v == 2 * r.k for r in rows)
