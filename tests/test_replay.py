@@ -173,3 +173,19 @@ def test_other_columns_and_a_wide_reward_net(spark, skewed_facts):
     per_event = (values.max(axis=1) - values[:, best])[events["user_key"].to_numpy()]
     for k in range(6):
         assert rows[k].regret == pytest.approx(per_event[k * 100 : (k + 1) * 100].sum(), abs=1e-9)
+
+
+def test_facts_are_read_once(spark, skewed_facts):
+    """The dimensions and the keys come from one pass over the facts, however dear their joins are."""
+    from armlight.plans.replay import build_tables
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    facts = skewed_facts.mapInPandas(count, skewed_facts.schema)
+    tables = build_tables(facts)
+    assert tables.replay.count() == 600 and seen.value == 600
