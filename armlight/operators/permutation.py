@@ -26,23 +26,27 @@ def round_keys(seed: int, epoch):
 
 
 def _once(x, half, keys):
-    mask = (1 << half) - 1
-    left, right = x >> half, x & mask
+    # the halves and keys have at most 31 bits; products wrap at 2^32, which leaves the bits below the modulus right
+    mask, low = np.uint32((1 << half) - 1), np.uint32(MODULUS - 1)
+    left, right = (x >> half).astype(np.uint32), x.astype(np.uint32) & mask
     for key in keys:
-        y = (right * FIRST + key) % MODULUS
-        y = ((y ^ y >> 15) * SECOND) % MODULUS
-        left, right = right, left ^ (y ^ y >> 13) & mask
-    return left << half | right
+        y = (right * np.uint32(FIRST) + key) & low
+        y = ((y ^ (y >> 15)) * np.uint32(SECOND)) & low
+        left, right = right, left ^ ((y ^ (y >> 13)) & mask)
+    return left.astype(np.int64) << half | right.astype(np.int64)
 
 
 def permute(numbers, n: int, epochs, seed: int) -> np.ndarray:
     """The place of each of ``numbers``, all below ``n``, in the order of its epoch."""
-    x = np.asarray(numbers, np.int64).copy()
-    epochs = np.broadcast_to(np.asarray(epochs, np.int64), x.shape)
+    x = np.array(numbers, np.int64)
     half, todo = half_bits(n), np.arange(len(x))
+    several = np.ndim(epochs) > 0
+    epochs = np.broadcast_to(np.asarray(epochs, np.int64), x.shape) if several else int(epochs)
     while len(todo):
-        x[todo] = _once(x[todo], half, round_keys(seed, epochs[todo]))
-        todo = todo[x[todo] >= n]
+        keys = [np.asarray(k).astype(np.uint32) for k in round_keys(seed, epochs[todo] if several else epochs)]
+        moved = _once(x[todo], half, keys)
+        x[todo] = moved
+        todo = todo[moved >= n]
     return x
 
 
