@@ -196,3 +196,12 @@ def test_cells_send_few_copies_whatever_the_size():
     # no cell holds more than its share of a side
     of_left, of_right = PR._grid(20_000_000, 50, 64, 1024, 12)
     assert 20_000_000 * 64 / of_left <= PR.CELL_NUMBERS and of_right == 1
+
+
+def test_vectors_are_sent_once_per_group_of_the_other_side(spark):
+    rows = spark.range(100).select(F.col("id").alias("key"), F.expr("array(id * 1D, 2D)").alias("vector"))
+    lefts = PR._dealt(rows, 5, 3, lambda mine, other: mine * 3 + other)
+    rights = PR._dealt(rows, 3, 5, lambda mine, other: other * 3 + mine)
+    assert lefts.count() == 300 and rights.count() == 500
+    met = lefts.alias("l").join(rights.alias("r"), "cell").groupBy("l.key", "r.key").count()
+    assert met.count() == 10_000 and met.where("count > 1").isEmpty()
