@@ -1,5 +1,7 @@
 """Learning policies against an event-by-event replay, and one rule for missing features everywhere."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from armlight.plans import learning as LE
 from armlight.plans import replay as R
 from armlight.plans import rounds as O
 from armlight.sources import interactions as I
+from armlight.sources.files import stage
 from tests import brute
 
 POLICIES = {
@@ -147,3 +150,12 @@ def test_an_empty_round_keeps_the_model(replay):
     model = I.policy_model()
     assert O.linear_round(exposed, replay, model).model is model
     assert T.gradient_step(R.reward_rows(replay, R.Policy("logit")).where("false"), model, I.policy_table(replay.users.sparkSession)).count() == 7
+
+
+def test_users_of_a_round_are_not_broadcast_by_the_size_of_their_file(spark, replay):
+    values = [F.lit(0.5).alias(c) for c in (*I.USER_FEATURES, "optimum")]
+    users = stage(spark.range(100_000).select(F.col("id").alias("user_key"), *values), "many-users")
+    exposed = spark.range(100_000).selectExpr("0 as policy", "id as batch", "id as user_key", "cast(null as bigint) as explored", "1L as n")
+    rows = LE.round_rows(exposed, replace(replay, users=users), [I.policy_model()], [(0, 0.1)])
+    assert rows.count() == 100_000
+    assert "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
