@@ -14,6 +14,7 @@ from armlight.plans import evaluation as E
 from armlight.plans import replay as R
 from armlight.plans import rounds as O
 from armlight.session import fresh_path
+from armlight.sources import interactions as I
 from armlight.sources import stores
 
 WIDE = 2278
@@ -243,3 +244,14 @@ def test_places_hold_for_one_epoch_and_for_many(spark):
     assert (places[:2500] == P.permute(numbers[:2500], 5000, 0, 100)).all()
     assert (places[2500:] == P.permute(numbers[2500:], 5000, 4, 100)).all()
     assert P.permute([0, 1, 2, 4999], 1 << 40, 3, 100).max() > 1 << 32
+
+
+def test_fit_steps_read_packed_rows(spark, skewed_facts, monkeypatch):
+    """Every step of a fit reads blocks in binary and not a row per event."""
+    given, train = [], B.train
+    monkeypatch.setattr(B, "train", lambda rows, *rest: given.append(rows) or train(rows, *rest))
+    rows = E.split_rows(skewed_facts, "event_id")
+    E.fit_reward_net(rows, rule_net([6, 2, 1], I.FEATURES), fresh_path(spark, "fit"), epochs=2, batches=2)
+    (blocks,) = given
+    assert blocks.columns == ["numbers", "x", "y"] and blocks.count() < 100
+    assert blocks.select(F.expr("sum(length(y)) / 8")).first()[0] == rows.where("split = 'train'").count()
