@@ -10,7 +10,9 @@ shard and any store that Spark writes to will do.
 
 import json
 import os
+import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 SLICE = 4 << 20
 CACHED_PIECES = 300_000  # of each of two generations
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+JOINED = 100  # words that are encoded as one text
 _STEP = 1 << 15  # ids whose bits are spread at once, a multiple of eight
 
 
@@ -64,18 +68,18 @@ class LibraryEncoder:
 
     The usual byte-level pattern matches white space only at the start of a match, letters and digits apart, and a mark
     before a letter only as a contraction, so texts may be cut into ``pieces`` without changing their ids; tokenizers
-    with another pattern get whole texts, unless ``by_pieces`` says that theirs splits alike. The file is read on the
-    driver; workers get its content.
+    with another pattern get whole texts, unless ``by_pieces`` says that theirs splits alike. ``fold`` says that theirs
+    drops white space and lowers letters. The file is read on the driver; workers get its content.
     """
 
-    def __init__(self, vocabulary: str, by_pieces: bool | None = None):
+    def __init__(self, vocabulary: str, by_pieces: bool | None = None, fold: bool = False):
         with open(vocabulary, encoding="utf-8") as file:
             self.content = file.read()
         given = json.loads(self.content)
         split = given.get("pre_tokenizer") or {}
         added = given.get("added_tokens") or []
         self.special = [t["content"].encode() for t in added]
-        self.by_pieces = (
+        plain = self.by_pieces = (
             given.get("normalizer") is None
             and split.get("type") == "ByteLevel"
             and not split.get("add_prefix_space")
@@ -84,11 +88,18 @@ class LibraryEncoder:
         )
         if by_pieces is not None:
             self.by_pieces = by_pieces
-        self.tokenizer, self.cache = None, PieceCache(CACHED_PIECES)
+        # the pieces that may be encoded together: no added token may match in them, and the ids must show their edges
+        model = given["model"]
+        self.suffix, self.fold = model.get("end_of_word_suffix"), fold
+        apart = model["type"] == "BPE" and not any(re.fullmatch(f"[ {LETTERS}]+", t["content"]) for t in added)
+        self.word = None
+        if apart and (self.suffix if fold else plain and not self.suffix):
+            self.word = re.compile(f"[{LETTERS}]+" if fold else f" [{LETTERS}]+")
+        self.tokenizer, self.edges, self.cache = None, None, PieceCache(CACHED_PIECES)
         self.size = self._library().get_vocab_size()
 
     def __getstate__(self):
-        return {**self.__dict__, "tokenizer": None, "cache": PieceCache(CACHED_PIECES)}
+        return {**self.__dict__, "tokenizer": None, "edges": None, "cache": PieceCache(CACHED_PIECES)}
 
     def _library(self):
         if self.tokenizer is None:
@@ -101,13 +112,36 @@ class LibraryEncoder:
             self.tokenizer.no_padding()
         return self.tokenizer
 
-    def _new(self, pieces):
+    def _one_by_one(self, pieces):
         found = self._library().encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _new(self, pieces):
+        """Words of letters are encoded many as one text and told apart by the ids that begin or end a word."""
+        words = [p for p in pieces if self.word.fullmatch(p)] if self.word else []
+        if not words:
+            return self._one_by_one(pieces)
+        if self.edges is None:
+            known = self._library().get_vocab()
+            self.edges = np.zeros(1 + max(known.values()), bool)
+            self.edges[[k for t, k in known.items() if (t.endswith(self.suffix) if self.fold else t.startswith("\u0120"))]] = True
+        between = " " if self.fold else ""
+        texts = [between.join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        coded = self._library().encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), "<u4")
+        cuts = np.flatnonzero(self.edges[ids])
+        cuts = np.append(0, cuts + 1) if self.fold else np.append(cuts, len(ids))
+        if len(cuts) != len(words) + 1 or cuts[0] or cuts[-1] != len(ids):
+            return self._one_by_one(pieces)
+        held, cuts = ids.tobytes(), (4 * cuts).tolist()
+        found = {w: held[start:end] for w, start, end in zip(words, cuts, cuts[1:])}
+        others = [p for p in pieces if p not in found]
+        found.update(zip(others, self._one_by_one(others), strict=True))
+        return [found[p] for p in pieces]
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
-        return encode_column(column, self.cache, self._new, "<u4", self.special, whole=not self.by_pieces)
+        return encode_column(column, self.cache, self._new, "<u4", self.special, whole=not self.by_pieces, fold=self.fold)
 
 
 def _blocks(encoder, batches):

@@ -77,7 +77,7 @@ def curve_keys(ids: np.ndarray, starts: np.ndarray, signs: np.ndarray) -> np.nda
 def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, curve, doc_tokens and ids (binary, two bytes each, the end id last) of each document."""
     # the word vocabularies drop white space and match letters, digits and marks apart, so they may be cut into pieces
-    encoder = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(vocabulary, by_pieces=True))
+    encoder = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(vocabulary, by_pieces=True, fold=True))
 
     def run(batches):
         signs = hashed_signs(1 << 16)

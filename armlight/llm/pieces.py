@@ -3,13 +3,16 @@
 A text may be cut where no match of the usual word patterns of tokenizers can reach across: before white space that
 follows a visible character, behind a single line break or tab between two such characters, and where letters or digits
 end. Special tokens may hold marks between letters, so where one occurs only white space cuts.
+
+Where a vocabulary drops white space and lowers letters, pieces are looked up lowered and without the white space that
+starts them, so that fewer are new.
 """
 
 import numpy as np
 import pyarrow as pa
 
 from armlight.llm.batches import utf8
-from armlight.llm.terms import WHITE
+from armlight.llm.terms import LOWER, WHITE
 
 _MARK, _LETTER, _DIGIT, _WHITE = 1, 2, 3, 4
 _KINDS = np.zeros(256, np.uint8)
@@ -51,26 +54,51 @@ class PieceCache:
         if len(self.recent) > self.limit:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
+        found = list(map(recent.get, pieces))
         new = []
-        for piece in pieces:
-            if piece not in recent:
-                if piece in older:
-                    recent[piece] = older[piece]
-                else:
-                    new.append(piece)
+        for place in [k for k, ids in enumerate(found) if ids is None]:
+            piece = pieces[place]
+            if piece in older:
+                recent[piece] = found[place] = older[piece]
+            else:
+                new.append(place)
         for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            recent.update(zip(some, encode_new(some)))
-        return [recent[p] for p in pieces]
+            some = [pieces[k] for k in new[at : at + 2000]]
+            for place, piece, ids in zip(new[at : at + 2000], some, encode_new(some), strict=True):
+                recent[piece] = found[place] = ids
+        return found
+
+
+def _folded(content: np.ndarray, starts: np.ndarray, special):
+    """(content, starts) with A to Z lowered and without the white space byte that starts a piece.
+
+    A letter before a mark that may combine with it stays: some pairs are one letter in lower case only. So does all of
+    a content that would spell a special token.
+    """
+    lowered = LOWER[content]
+    lowered[:-1] = np.where((content[1:] < 128) | (content[1:] == 0xC3), lowered[:-1], content[:-1])
+    lowered[-1:] = content[-1:]
+    if any(t in lowered.tobytes() for t in special):
+        lowered = content
+    blank = WHITE[content[starts]]
+    kept = np.ones(len(content), bool)
+    kept[starts[blank]] = False
+    return lowered[kept], starts - (np.cumsum(blank) - blank)
+
 
+def encode_column(column, cache: PieceCache, encode_new, dtype: str, special=(), whole: bool = False, fold: bool = False):
+    """(all ids of the texts in a row, ids per text); null counts as empty, ``whole`` keeps texts uncut.
 
-def encode_column(column, cache: PieceCache, encode_new, dtype: str, special=(), whole: bool = False):
-    """(all ids of the texts in a row, ids per text); null counts as empty, ``whole`` keeps texts uncut."""
+    ``fold`` is for vocabularies that drop white space and lower letters.
+    """
     content, offsets = utf8(column)
     if not len(content):
         return np.zeros(0, dtype), np.zeros(len(column), np.int64)
     starts = offsets[:-1][np.diff(offsets) > 0] if whole else piece_starts(content, offsets, special)
-    bounds = np.append(starts, len(content)).astype(np.int64)
+    begins = starts
+    if fold and not whole:
+        content, begins = _folded(content, starts, special)
+    bounds = np.append(begins, len(content)).astype(np.int64)
     pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(content))])
     coded = pieces.dictionary_encode()
     which = coded.indices.to_numpy()
