@@ -267,7 +267,7 @@ class CountTree:
             if one is not None:
                 fits &= labels[q] != one
             q = q[fits]
-            q = q[np.minimum(corner, points[q]).sum(1, dtype=np.int64) >= least_shared(sizes[q] + least)]
+            q = q[np.minimum(corner, points[q]).sum(1, dtype=self.wide) >= least_shared(sizes[q] + least)]
             if below:
                 open_nodes.extend((child, q) for child in below if len(q))
                 continue

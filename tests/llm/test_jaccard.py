@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from armlight.llm import jaccard
@@ -90,3 +91,14 @@ def docs_column():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_tree_sums_of_the_largest_uncut_counts():
+    """Sums of 16 bits hold 254 in each group: no pair is lost at the top of their range."""
+    points = np.full((200, jaccard.GROUPS), 254, np.uint8)
+    points[::3, ::2] = 0
+    sizes = points.sum(1, dtype=np.int64)
+    query, entry = jaccard.CountTree(points, sizes, np.arange(200)).search(points, sizes, np.arange(200))
+    shared = np.minimum(points[:, None], points[None]).sum(2, dtype=np.int64)
+    near = (180 * shared >= 80 * (sizes[:, None] + sizes[None])) & ~np.eye(200, dtype=bool)
+    assert set(zip(query.tolist(), entry.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(near))))
