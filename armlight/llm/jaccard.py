@@ -15,8 +15,9 @@ both sets leaves room for enough shared ones. Then, exactly:
    block, and enough to connect copies. Pairs that the points allow are verified, each document's best pair first and
    the others only where labels still differ. Links give labels.
 2. Blocks that still hold different labels get R-trees, in cells of at most ``2 * CELL`` members: a larger block is dealt
-   into parts, and each two parts meet in one cell. Pairs of one label are skipped, since no link between them changes a
-   component; all others are tested, so no link between components is lost.
+   into parts, and each two parts meet in one cell. Cells that fit one leaf are compared together. Pairs of one label
+   are skipped, since no link between them changes a component; all others are tested, so no link between components
+   is lost.
 """
 
 import numpy as np
@@ -37,6 +38,8 @@ WORDS = 5
 SHARE, WHOLE = 80, 100
 GROUPS = 256
 CELL, LEAF = 1_500, 64
+# pairs of leaves whose points are compared at once
+PAIRS = 4_096
 SLICE = 2 << 20
 CELLS, SKETCH_PARTS = 1 << 20, 64
 # a cell of the sketch is hot above this count and four times the mean: its shingles are not looked up by one task
@@ -282,17 +285,74 @@ class CountTree:
         return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (queries, entries_met))
 
 
-def _cell_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one cell: of its two parts, or within its one part."""
-    points = _points(rows["point"])
-    sizes, labels, ids, part = (rows[c].to_numpy() for c in ("size", "label", "id", "part"))
-    inside = np.flatnonzero(part == part.min())
-    asking = inside if part.min() == part.max() else np.flatnonzero(part != part.min())
-    tree = CountTree(points[inside], sizes[inside], labels[inside])
-    query, entry = tree.search(points[asking], sizes[asking], labels[asking])
-    one, other = ids[asking[query]], ids[inside[entry]]
-    found = pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
-    return found.drop_duplicates()
+def _leaf_pairs(points, sizes, labels, part, crossing, after):
+    """Row numbers of the pairs that may link, each row met with the ``after`` next ones, the rest of its cell.
+
+    The tests are those of a leaf of ``CountTree``. Rows of a cell of two parts (``crossing``) meet only the other part.
+    """
+    one = np.repeat(np.arange(len(points)), after)
+    other = np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after) + one + 1
+    least, most = np.minimum(sizes[one], sizes[other]), np.maximum(sizes[one], sizes[other])
+    meet = (WHOLE * least >= SHARE * most) & (labels[one] != labels[other]) & (~crossing[one] | (part[one] != part[other]))
+    one, other = one[meet], other[meet]
+    wide = np.uint16 if points.dtype == np.uint8 else np.int64
+    for counts in (_folded(points), points):
+        close = [np.zeros(0, bool)]
+        for at in range(0, len(one), PAIRS):
+            x, y = one[at : at + PAIRS], other[at : at + PAIRS]
+            close.append(np.minimum(counts[x], counts[y]).sum(1, dtype=wide) >= least_shared(sizes[x] + sizes[y]))
+        close = np.concatenate(close)
+        one, other = one[close], other[close]
+    return one, other
+
+
+def _pairs_of_cells(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Candidate pairs (a, b) of whole cells: of a cell's two parts, or within its one part."""
+    points = _points(rows["point"].to_pylist())
+    sizes, labels, ids, part, i, j = (rows[c].to_numpy() for c in ("size", "label", "id", "part", "i", "j"))
+    starts = _cell_starts(rows)
+    ends = np.append(starts[1:], len(rows))
+    # a cell that fits one leaf is a tree of that leaf only
+    small = ends - starts <= LEAF
+    after = np.repeat(np.where(small, ends, 0), ends - starts) - np.arange(len(rows)) - 1
+    found = [_leaf_pairs(points, sizes, labels, part, i != j, np.maximum(after, 0))]
+    for start, end in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+        inside = start + np.flatnonzero(part[start:end] == i[start])
+        asking = inside if i[start] == j[start] else start + np.flatnonzero(part[start:end] == j[start])
+        if len(inside) and len(asking):
+            tree = CountTree(points[inside], sizes[inside], labels[inside])
+            query, entry = tree.search(points[asking], sizes[asking], labels[asking])
+            found.append((asking[query], inside[entry]))
+    one, other = (ids[np.concatenate(x)] for x in zip(*found, strict=True))
+    pairs = pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)}).drop_duplicates()
+    return pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+
+
+def _cell_starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where each cell begins, in rows that are sorted by cell."""
+    new = np.ones(len(rows), bool)
+    shingle, i, j = (rows[c].to_numpy() for c in ("shingle", "i", "j"))
+    new[1:] = (shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return np.flatnonzero(new)
+
+
+def _cell_pairs(batches):
+    """Candidate pairs of the cells in ``batches``, sorted by cell; the last cell of a batch waits for its other rows.
+
+    Most cells have a few members, so many are taken at once.
+    """
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        last = int(_cell_starts(batch)[-1])
+        if last:
+            yield _pairs_of_cells(batch.slice(0, last))
+        held = batch.slice(last)
+    if held is not None:
+        yield _pairs_of_cells(held)
 
 
 def _blocks(signatures: DataFrame, scratch: Scratch) -> DataFrame:
@@ -348,7 +408,8 @@ def _cells(met: DataFrame, labels: DataFrame, signatures: DataFrame, scratch: Sc
         "shingle", "id", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
     cells = cells.join(signatures.select("id", "size", "point"), "id")
-    pairs = cells.groupBy("shingle", "i", "j").applyInPandas(_cell_pairs, "a bigint, b bigint")
+    cell = ["shingle", "i", "j"]
+    pairs = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_pairs, "a bigint, b bigint")
     pairs = scratch.keep(pairs.distinct(), "jaccard-pairs")
     scratch.drop(marked, open_blocks)
     return pairs

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from armlight.llm import jaccard
@@ -102,3 +104,43 @@ def test_tree_sums_of_the_largest_uncut_counts():
     shared = np.minimum(points[:, None], points[None]).sum(2, dtype=np.int64)
     near = (180 * shared >= 80 * (sizes[:, None] + sizes[None])) & ~np.eye(200, dtype=bool)
     assert set(zip(query.tolist(), entry.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(near))))
+
+
+@pytest.mark.parametrize("most", [200, 255])
+def test_cells_of_many_sizes_in_batches(monkeypatch, most):
+    """Small cells are compared together, without a tree each, wherever batches end; no pair of a cell is lost."""
+    rng = np.random.default_rng(4)
+    built = []
+    tree = jaccard.CountTree
+    monkeypatch.setattr(jaccard, "CountTree", lambda *a: built.append(len(a[0])) or tree(*a))
+    frames, near, loose = [], set(), set()
+    base = rng.integers(0, 4, (6, jaccard.GROUPS))
+    base[0, 0] = most
+    for cell, n in enumerate([2] * 300 + [3, 64, 65, 1, 150, 40, 90]):
+        # of each three cells of a shingle, the second is one of two parts
+        i, j = ((0, 0), (0, 1), (1, 1))[cell % 3]
+        points = np.maximum(base[rng.integers(0, 6, n)] - rng.integers(0, 2, (n, jaccard.GROUPS)) * rng.integers(0, 2, (n, 1)), 0)
+        points[:, 0] = np.where(points[:, 0] >= most - 1, most, points[:, 0])
+        sizes, ids = points.sum(1), rng.permutation(1000)[:n]
+        labels, part = ids % 7, rng.integers(i, j + 1, n)
+        frames.append(pd.DataFrame({
+            "shingle": cell // 3, "i": i, "j": j, "id": ids, "label": labels, "part": part, "size": sizes,
+            "point": [p.astype(np.uint8).tobytes() for p in points],
+        }).astype({"i": "int32", "j": "int32", "part": "int32"}))
+        bounds = np.where(points == 255, 65535, points)
+        for x in range(n):
+            for y in range(x):
+                shared = np.minimum(bounds[x], bounds[y]).sum()
+                if labels[x] != labels[y] and (i == j or part[x] != part[y]) and 180 * shared >= 80 * (sizes[x] + sizes[y]):
+                    pair = min(ids[x], ids[y]), max(ids[x], ids[y])
+                    loose.add(pair)
+                    if 100 * min(sizes[x], sizes[y]) >= 80 * max(sizes[x], sizes[y]):
+                        near.add(pair)
+    rows = pa.Table.from_pandas(pd.concat(frames), preserve_index=False)
+    assert near
+    for size in (10_000, 97, 1):
+        built.clear()
+        found = [b.to_pandas() for b in jaccard._cell_pairs(iter(rows.combine_chunks().to_batches(max_chunksize=size)))]
+        assert near <= set(pd.concat(found).itertuples(index=False, name=None)) <= loose
+        assert len(built) <= 3
+    assert not list(jaccard._cell_pairs(iter([])))
