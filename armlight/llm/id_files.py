@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlight.llm.batches import list_array, slices
+from armlight.llm.batches import list_array, map_batches, slices
 from armlight.llm.pieces import PieceCache, encode_column
 
 BLOCK_IDS = 1 << 16
@@ -190,7 +190,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id
             T.StructField("payload", T.BinaryType()),
         ]
     )
-    ordered.mapInArrow(lambda batches: _blocks(encoder.value, batches), schema).write.parquet(path)
+    map_batches(ordered, lambda batches: _blocks(encoder.value, batches), schema).write.parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -228,7 +228,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("n_tokens", long), T.StructField("ids", T.BinaryType()),
         ]
     )
-    return blocks.mapInArrow(run, schema)
+    return map_batches(blocks, run, schema)
 
 
 def read_range(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:

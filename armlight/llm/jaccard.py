@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlight.llm.batches import list_array, slices, utf8
+from armlight.llm.batches import list_array, map_batches, slices, utf8
 from armlight.llm.components import smallest_labels
 from armlight.llm.narrowing import keep_repeated, rows_with
 from armlight.llm.scratch import Scratch
@@ -41,6 +41,8 @@ CELL, LEAF = 1_500, 64
 # pairs of leaves whose points are compared at once
 PAIRS = 4_096
 SLICE = 2 << 20
+# texts whose points are counted at once: each takes some 4 kB on the way, however short
+ROWS = 4_096
 CELLS, SKETCH_PARTS = 1 << 20, 64
 # a cell of the sketch is hot above this count and four times the mean: its shingles are not looked up by one task
 HOT = 100_000
@@ -109,7 +111,8 @@ def sketch(rows: DataFrame) -> np.ndarray:
 
     schema = "part bigint, counts binary"
     table = np.zeros((SKETCH_PARTS, CELLS // SKETCH_PARTS), np.int64)
-    for part, counts in rows.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+    counted = map_batches(rows.select("text"), count, schema)
+    for part, counts in map_batches(counted.repartition("part"), add, schema).collect():
         table[part] = np.frombuffer(counts, np.int64)
     return table.ravel()
 
@@ -124,7 +127,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         classes, hot = shared.value
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", SLICE, ROWS):
             found, owner = shingle_sets(*utf8(part["text"]))
             n = len(part)
             size = np.bincount(owner, minlength=n)
@@ -150,8 +153,8 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 ["id", "size", "one", "two", "point", "prefix", "cold"],
             )
 
-    return rows.mapInArrow(
-        run, "id bigint, size bigint, one bigint, two bigint, point binary, prefix array<bigint>, cold bigint"
+    return map_batches(
+        rows, run, "id bigint, size bigint, one bigint, two bigint, point binary, prefix array<bigint>, cold bigint"
     )
 
 
@@ -180,7 +183,7 @@ def bounded(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
     a = signatures.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("point").alias("point_a"))
     b = signatures.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("point").alias("point_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a bigint, b bigint, n bigint")
+    return map_batches(pairs.join(a, "a").join(b, "b"), run, "a bigint, b bigint, n bigint")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -223,7 +226,7 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
             )
 
     met = rows_with(rows, asked, "doc_id").select("a", "part", "role", "doc_id", "text").repartition("a", "part")
-    found = met.sortWithinPartitions("a", "part", "role").mapInArrow(run, "a bigint, b bigint")
+    found = map_batches(met.sortWithinPartitions("a", "part", "role"), run, "a bigint, b bigint")
     links = scratch.keep(found, "jaccard-links")
     scratch.drop(asked)
     return links
@@ -409,7 +412,7 @@ def _cells(met: DataFrame, labels: DataFrame, signatures: DataFrame, scratch: Sc
     )
     cells = cells.join(signatures.select("id", "size", "point"), "id")
     cell = ["shingle", "i", "j"]
-    pairs = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_pairs, "a bigint, b bigint")
+    pairs = map_batches(cells.repartition(*cell).sortWithinPartitions(*cell), _cell_pairs, "a bigint, b bigint")
     pairs = scratch.keep(pairs.distinct(), "jaccard-pairs")
     scratch.drop(marked, open_blocks)
     return pairs
@@ -478,4 +481,4 @@ def shingle_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             _, owner = shingle_sets(*utf8(part[text]))
             yield pa.RecordBatch.from_arrays([part[doc_id], pa.array(np.bincount(owner, minlength=len(part)))], [doc_id, "n_shingles"])
 
-    return docs.select(doc_id, text).mapInArrow(run, T.StructType([docs.schema[doc_id], T.StructField("n_shingles", T.LongType())]))
+    return map_batches(docs.select(doc_id, text), run, T.StructType([docs.schema[doc_id], T.StructField("n_shingles", T.LongType())]))

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlight.llm.batches import slices
+from armlight.llm.batches import map_batches, slices
 from armlight.llm.id_files import LibraryEncoder
 from armlight.sources.files import stage
 
 SIZE = 2048
 DIMENSIONS, BITS = 3, 12
-SLICE = 4 << 20
+SLICE = 2 << 20
 END_ID = 1
 
 
@@ -94,7 +94,7 @@ def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [T.StructField("curve", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
+    return map_batches(rows, run, T.StructType([rows.schema["doc_id"], *fields]))
 
 
 def _pieces(rows, first_sequence: int):
@@ -172,4 +172,4 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     schema = T.StructType(
         [rows.schema["doc_id"], *(T.StructField(n, long) for n in names[1:-1]), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     )
-    return ordered.mapInArrow(run, schema)
+    return map_batches(ordered, run, schema)

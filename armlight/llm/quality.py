@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlight.llm.batches import slices, utf8
+from armlight.llm.batches import map_batches, slices, utf8
 from armlight.llm.terms import WHITE, mix, word_hashes
 from armlight.llm.training_rows import fold, sample
 
@@ -31,6 +31,8 @@ BOUND = 6_000
 TRIPLES = 1 << 10
 WIDTH = TRIPLES + 4
 SLICE = 2 << 20
+# texts whose features are counted at once: each takes some 30 kB on the way, however short
+ROWS = 1_024
 FOLDS, HELD_OUT = 3, 1
 
 # character classes of bytes: lower, upper, digit, white space, line feed, beyond ASCII, and each mark by itself
@@ -137,12 +139,12 @@ def _features_of(docs: DataFrame, kept: str) -> np.ndarray:
     """Features of a bounded frame of (text, kept), collected as bytes."""
 
     def run(batches):
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", SLICE, ROWS):
             rows = text_features(*utf8(part["text"])).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part[kept], pa.array([r.tobytes() for r in rows], pa.binary())], [kept, "f"])
 
     schema = T.StructType([docs.schema[kept], T.StructField("f", T.BinaryType())])
-    rows = docs.mapInArrow(run, schema).collect()
+    rows = map_batches(docs, run, schema).collect()
     cells = np.frombuffer(b"".join(bytes(r["f"]) for r in rows), np.float16).reshape(-1, WIDTH)
     return cells, np.array([r[kept] for r in rows])
 
@@ -170,8 +172,8 @@ def score(docs: DataFrame, model: LinearScore, name: str = "score") -> DataFrame
     names = rows.columns
 
     def run(batches):
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", SLICE, ROWS):
             scores = shared.value.score(text_features(*utf8(part["text"])))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*names, name])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(name, T.DoubleType())]))
+    return map_batches(rows, run, T.StructType([*rows.schema, T.StructField(name, T.DoubleType())]))
